@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, url_filter
+from . import decontaminate, exact_dedup, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark")).drop("text")
+    n_hit = F.aggregate("leak.hits", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return found.select(
+        "doc_id", "leak.n_words", n_hit.alias("n_hit"), F.size("leak.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leak.items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("leak.hits") > 0).alias("contaminated"), F.col("leak.longest").alias("longest"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 40)
 
@@ -48,6 +58,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_url_filter": op2_url_filter,
+        "op8_decontaminate": op8_decontaminate,
         "op9_sharding": op9_sharding,
     }
 

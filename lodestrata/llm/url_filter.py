@@ -1,15 +1,16 @@
 """URL filter: host/path rules, then a logistic regression on hashed character n-grams.
 
-The model is trained from a small labelled URL table by gradient descent that
-is itself DataFrame code, and applied as one SQL expression over a weight array
-of fixed size, so no Python runs on executors.
+The model is trained from a small labelled URL table by Spark's own logistic
+regression and applied as one SQL expression over a weight array of fixed size,
+so no Python runs on executors.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,29 +97,24 @@ def buckets(host_col: Column, path_col: Column, dims: int, sizes: tuple[int, ...
     return F.array_distinct(F.concat(*(_hashed(text, tag, n, dims) for tag, text in whole.items() for n in sizes)))
 
 
-def train(labelled: DataFrame, dims: int = 1024, sizes: tuple[int, ...] = (3, 4, 5), steps: int = 12, rate: float = 4.0, l2: float = 1e-3, max_rows: int = 10_000) -> NgramModel:
-    """Fit by full-batch gradient descent; each step is one aggregate over (bucket, row) pairs.
+def train(labelled: DataFrame, dims: int = 1024, sizes: tuple[int, ...] = (3, 4, 5), steps: int = 100, l2: float = 0.002, max_rows: int = 10_000) -> NgramModel:
+    """Fit by L-BFGS over one dense row of 0/1 bucket marks a url, scaled as in ``NgramModel``.
 
     ``labelled`` (url, label 0/1) must hold at most ``max_rows`` rows: it is the
-    small table that the method names. Null labels are left out. Only the
-    weights, ``dims`` numbers, come to the driver.
+    small table that the method names. Null labels are left out; without both
+    labels the model has no weights to learn and says 0.5. Only the weights,
+    ``dims`` numbers, come to the driver.
     """
     if labelled.count() > max_rows:
         raise ValueError(f"the labelled table has more than {max_rows} rows")
-    rows = labelled.filter("label is not null").select(F.col("label").cast("double").alias("y"), buckets(host(F.col("url")), path(F.col("url")), dims, sizes).alias("b")).coalesce(1).cache()
-    n = rows.count()
-    weights, bias = [0.0] * dims, 0.0
-    for _ in range(steps if n else 0):
-        w = F.array(*(F.lit(x) for x in weights))
-        norm = F.sqrt(F.greatest(F.size("b"), F.lit(1)).cast("double"))
-        z = F.lit(bias) + _total(w, F.col("b")) / norm
-        err = rows.select((1 / (1 + F.exp(-z)) - F.col("y")).alias("e"), norm.alias("norm"), "b")
-        sums = err.select("e", (F.col("e") / F.col("norm")).alias("g"), F.explode("b").alias("k")).groupBy("k").agg(F.sum("g").alias("g")).unionByName(err.agg(F.lit(-1).alias("k"), F.sum("e").alias("g")))
-        grads = {r.k: r.g for r in sums.collect()}
-        bias -= rate * grads.pop(-1, 0.0) / n
-        weights = [x - rate * (grads.get(k, 0.0) / n * math.sqrt(dims) / 8 + l2 * x) for k, x in enumerate(weights)]
-    rows.unpersist()
-    return NgramModel(weights, bias, sizes)
+    rows = labelled.filter("label is not null").select(F.col("label").cast("double").alias("label"), buckets(host(F.col("url")), path(F.col("url")), dims, sizes).alias("b"))
+    if rows.select("label").distinct().count() < 2:
+        return NgramModel([0.0] * dims, 0.0, sizes)
+    scale = 1 / F.sqrt(F.greatest(F.size("b"), F.lit(1)).cast("double"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.array_contains("b", i), F.col("scale")).otherwise(0.0))
+    dense = rows.withColumn("scale", scale).select("label", array_to_vector(marks).alias("features")).coalesce(1)
+    fitted = LogisticRegression(maxIter=steps, regParam=l2, standardization=False).fit(dense)
+    return NgramModel([float(x) for x in fitted.coefficients], float(fitted.intercept), sizes)
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], model: NgramModel, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
