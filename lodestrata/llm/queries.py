@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding, url_filter
+from . import decontaminate, exact_dedup, packing, sharding, token_records, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: The id that ends each document.
+END_ID = 2
+
+
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, 1024)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark")).drop("text")
@@ -58,6 +76,8 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_url_filter": op2_url_filter,
+        "op4_token_records": op4_token_records,
+        "op6_packing": op6_packing,
         "op8_decontaminate": op8_decontaminate,
         "op9_sharding": op9_sharding,
     }
