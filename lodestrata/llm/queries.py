@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, sharding, token_records, url_filter
+from . import decontaminate, exact_dedup, packing, sharding, substring_dedup, token_records, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 40)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.find_repeats(_table(spark, sf_dir, "documents"), 50)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op8_decontaminate": op8_decontaminate,
         "op9_sharding": op9_sharding,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
