@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, sharding, substring_dedup, token_records, url_filter
+from . import decontaminate, exact_dedup, language_id, packing, sharding, substring_dedup, token_records, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,17 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Trained on the rows that are not held out."""
+    return language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, 1024)
 
@@ -82,6 +93,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_url_filter": op2_url_filter,
         "op4_token_records": op4_token_records,
+        "op5_language_id": op5_language_id,
         "op6_packing": op6_packing,
         "op8_decontaminate": op8_decontaminate,
         "op9_sharding": op9_sharding,
