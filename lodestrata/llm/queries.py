@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, sharding, substring_dedup, token_records, url_filter
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, sharding, substring_dedup, token_records, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, 1024)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups, _ = near_dedup.near_groups(_table(spark, sf_dir, "documents"), 0.8)
+    return groups.select(F.col("id").alias("doc_id"), "class_id", "copy_of", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark")).drop("text")
@@ -95,6 +100,7 @@ def queries() -> dict:
         "op4_token_records": op4_token_records,
         "op5_language_id": op5_language_id,
         "op6_packing": op6_packing,
+        "op7_near_dedup": op7_near_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_sharding": op9_sharding,
         "op10_substring_dedup": op10_substring_dedup,
