@@ -108,3 +108,12 @@ def grams(words: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarr
     sums = np.zeros(n + 1, _U)
     np.cumsum(words * up[:n], out=sums[1:])
     return mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1] + _U(k))
+
+
+def runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A 64-bit hash of the words ``[begin, end)``, for each pair of bounds; equals ``grams`` at equal lengths."""
+    n = len(words)
+    up, down = _powers(base, n + 1)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(words * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(_U))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, packing, sharding, substring_dedup, token_records, url_filter
+from . import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding, substring_dedup, token_records, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.find_line_copies(_table(spark, sf_dir, "documents"), 0.8)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "removed")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -97,6 +102,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_url_filter": op2_url_filter,
+        "op3_line_dedup": op3_line_dedup,
         "op4_token_records": op4_token_records,
         "op5_language_id": op5_language_id,
         "op6_packing": op6_packing,
