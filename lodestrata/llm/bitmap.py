@@ -15,8 +15,8 @@ MOST = 29
 
 
 def bits_for(n: int, most: int = MOST) -> int:
-    """16 bits a key as a power of two, from 2^20 to 2^most."""
-    return 1 << max(20, min(most, (max(n, 1) * 16 - 1).bit_length()))
+    """32 bits a key as a power of two, from 2^20 to 2^most."""
+    return 1 << max(20, min(most, (max(n, 1) * 32 - 1).bit_length()))
 
 
 def _place(key: Column, bits: int) -> Column:
@@ -38,15 +38,25 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame, n_keys: int) -> DataFra
     return marked.join(F.broadcast(build(keys, place)), "__bucket").filter(F.getbit(byte, F.col("__bit") % 8) == 1).select(*rows.columns)
 
 
-def gather(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The low bits of the longs in ``hash`` as a bitmap of ``bits / 8`` bytes on the driver, least bit first."""
+#: Bits of a 64-bit hash at which its places in a bitmap of up to 2^29 bits begin.
+_SHIFTS = (0, 17, 34)
+
+
+def gather(hashes: DataFrame, bits: int, probes: int = 3) -> np.ndarray:
+    """The longs in ``hash`` as a bitmap of ``bits / 8`` bytes on the driver, least bit first.
+
+    Each sets ``probes`` bits; with one, only the low bits need be spread well.
+    """
     out = np.zeros(bits // 8, np.uint8)
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1
-    for bucket, bitmap in build(hashes, place).toLocalIterator():
+    places = F.array(*(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(bits - 1)) + 1 for k in _SHIFTS[:probes]))
+    for bucket, bitmap in build(hashes.select(F.explode(places).alias("place")), F.col("place")).toLocalIterator():
         out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bitmap), np.uint8)
     return out
 
 
-def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def has(bitmap: np.ndarray, hashes: np.ndarray, probes: int = 3) -> np.ndarray:
+    out = np.ones(hashes.shape, bool)
+    for k in _SHIFTS[:probes]:
+        at = ((hashes >> np.uint64(k)) & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+        out &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return out

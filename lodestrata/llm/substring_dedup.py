@@ -107,7 +107,7 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     held = known.filter("size(anchors) > 0").select(F.xxhash64("digest").alias("class"), F.explode("anchors").alias("hash"))
     shared = stage(held.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("hash"), "repeat-anchors")
     n_shared = shared.count()
-    passes = max(1, -(-n_shared * 8 // (1 << bits_a_pass)))
+    passes = max(1, -(-n_shared * 16 // (1 << bits_a_pass)))
     bits = bitmap.bits_for(-(-n_shared // passes), bits_a_pass)
 
     def candidates(mine, turn: int):
