@@ -2,27 +2,28 @@
 
 Both near-duplicate operators put rows into buckets and link rows of a bucket
 that pass an exact check. A bucket may hold a third of all rows, so pairs of a
-bucket are never all formed. ``link`` works in rounds:
+bucket are never all formed. ``link`` works in two rounds:
 
 1. in every bucket, rows of small sub-buckets (by a hash of the id, the same in
    every bucket) are compared with each other, and every row with the bucket's
    smallest id. Sub-buckets hold ``small`` rows on average; a bucket of that
    size is its only sub-bucket, so all its pairs are compared.
-2. in larger buckets whose rows are not yet one group, rows outside the
-   bucket's largest group are compared with ``pivots`` rows of that group,
-   chosen by hash, for a few rounds with other pivots.
-3. what is still in several groups is compared completely across groups.
-
-After that any two rows of a bucket are in one group or have been compared, so
-no link between groups is lost. The last round is the exact way for what the
-cheap ones leave; in practice that is a handful of rows.
+2. in larger buckets whose rows are not one group after that, rows outside the
+   bucket's largest group meet the rows of other groups in tiles of bounded
+   size. A tile compares sketches by an upper bound that no true link fails, as
+   arrays, and only pairs that pass become rows and are checked exactly.
+
+After that any two rows of a bucket are in one group, have been checked, or
+cannot be alike, so no link between groups is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import drop, stage
@@ -54,57 +55,65 @@ def components(edges: DataFrame, name: str = "groups") -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], small: int = 8, pivots: int = 24, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], sketches: DataFrame, may: Callable, small: int = 8, tile: int = 384) -> tuple[DataFrame, DataFrame]:
     """(links, groups) of the rows of ``buckets`` (bucket long, id long, size long; a written table).
 
     ``check`` takes distinct candidate pairs (a < b, with sizes na and nb) and
-    returns the true ones as (a, b). Each round's links are written.
+    returns the true ones as (a, b, ...). ``sketches`` has (id, sketch binary of
+    one length); ``may(x, nx, y, ny)`` says for each row of ``x`` and of ``y``
+    (sketches as matrices of bytes, and sizes) whether the pair can be a link.
     """
-    spark = buckets.sparkSession
     stats = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("head")).filter("n > 1")
     parts = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / small))).cast("long"))
     members = stage(buckets.join(stats, "bucket").withColumn("sub", F.pmod(F.xxhash64("id"), parts)), "link-members")
     to_head = members.filter(f"n > {small} and id != head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.size").alias("na"), F.col("size").alias("nb"))
-    inner = _within(members, small)
-    links = [stage(check(_distinct(to_head.unionByName(inner))), "links")]
-    large = stage(members.filter(f"n > {small}").select("bucket", "id", "size"), "link-large")
+    links = stage(check(_distinct(to_head.unionByName(_within(members)))), "links")
+    groups = stage(components(links), "link-groups")
+    rest = stage(_open(members.filter(f"n > {small}").select("bucket", "id", "size"), groups), "link-open")
     drop(members)
-    groups = stage(components(links[0]), "link-groups")
-    if large.isEmpty():
-        return links[0], groups
-    for turn in range(rounds + 1):
-        open_ = _open(large, groups)
-        rest = stage(open_, "link-open")
-        if rest.isEmpty():
-            drop(rest)
-            break
-        outside, inside = rest.filter("comp != main"), rest.filter("comp = main")
-        if turn < rounds:
-            rank = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-            few = inside.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= pivots)
-            pairs = outside.alias("x").join(few.alias("y"), "bucket")
-        else:
-            pairs = outside.alias("x").join(rest.alias("y"), "bucket").filter("x.comp != y.comp and (y.comp = y.main or x.id < y.id)")
-        order = F.col("x.id") < F.col("y.id")
-        pick = lambda c, d: F.when(order, F.col(c)).otherwise(F.col(d))
-        found = check(_distinct(pairs.select(pick("x.id", "y.id").alias("a"), pick("y.id", "x.id").alias("b"), pick("x.size", "y.size").alias("na"), pick("y.size", "x.size").alias("nb"))))
-        new = stage(found, "links")
+    if rest.isEmpty():
         drop(rest)
-        links.append(new)
-        if not new.isEmpty():
-            stars = groups.filter("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
-            before, groups = groups, stage(components(stars.unionByName(new.select("a", "b"))), "link-groups")
-            drop(before)
-        if new.isEmpty() and turn == rounds:
-            break
-    drop(large)
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.distinct(), groups
-
-
-def _within(members: DataFrame, small: int) -> DataFrame:
+        return links, groups
+    more = stage(check(_distinct(_tiles(rest, sketches, may, tile))), "links")
+    drop(rest)
+    if not more.isEmpty():
+        stars = groups.filter("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
+        before, groups = groups, stage(components(stars.unionByName(more.select("a", "b"))), "link-groups")
+        drop(before)
+    return links.unionByName(more).distinct(), groups
+
+
+def _tiles(rest: DataFrame, sketches: DataFrame, may: Callable, tile: int) -> DataFrame:
+    """Pairs of rows of different groups of a bucket, one outside its largest group, that may be links."""
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / tile).alias("wide"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / tile).alias("high"))
+    every = rest.join(sizes, "bucket").join(sketches, "id")
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = [F.col(c) for c in ("bucket", "id", "size", "comp", "main", "sketch")]
+    outer = every.filter("comp != main").select(*held, number("high").alias("i"), upto("wide").alias("j"), F.lit(True).alias("outer"))
+    inner = every.select(*held, upto("high").alias("i"), number("wide").alias("j"), F.lit(False).alias("outer"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        get = lambda name: t.column(name).to_numpy()
+        ident, size, comp, out = get("id"), get("size"), get("comp"), t.column("outer").to_numpy().astype(bool)
+        bytes_of = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        x, y = np.flatnonzero(out), np.flatnonzero(~out)
+        main = t.column("main")[0].as_py()
+        found: list[tuple] = []
+        for at in range(0, len(x), 64):
+            part = x[at : at + 64]
+            good = may(bytes_of[part], size[part], bytes_of[y], size[y]) & (comp[part][:, None] != comp[y]) & ((comp[y] == main) | (ident[part][:, None] < ident[y]))
+            r, c = np.nonzero(good)
+            found.append((part[r], y[c]))
+        r, c = (np.concatenate(v) if found else np.empty(0, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))
+        swap = ident[r] > ident[c]
+        a, b = np.where(swap, c, r), np.where(swap, r, c)
+        return pa.table({"a": ident[a], "b": ident[b], "na": size[a], "nb": size[b]})
+
+    return outer.unionByName(inner).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, na long, nb long")
+
+
+def _within(members: DataFrame) -> DataFrame:
     """Pairs a < b of the rows of each sub-bucket. Sub-buckets hold few rows: a hash splits larger buckets."""
     lists = members.groupBy("bucket", "sub").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("all")).filter("size(all) > 1")
     one = lists.select("all", F.posexplode("all").alias("i", "x"))

@@ -124,6 +124,32 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return h
 
 
+_CELLS = 512
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of 512 cells, 255 at most."""
+    return np.minimum(np.bincount((items >> _U(55)).astype(np.int64), minlength=_CELLS), 255).astype(np.uint8).tobytes()
+
+
+def may_reach(threshold: float):
+    """Whether cell counts let the overlap be large enough: the smaller counts add up to no less than it.
+
+    What a full cell leaves out is added as if it all met.
+    """
+
+    def may(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+        over_x, over_y = nx - x.sum(axis=1), ny - y.sum(axis=1)
+        out = np.zeros((len(x), len(y)), bool)
+        for k in range(len(x)):
+            near = np.flatnonzero(np.minimum(nx[k], ny) >= threshold * np.maximum(nx[k], ny))
+            most = np.minimum(y[near], x[k]).sum(axis=1, dtype=np.int64) + np.minimum(over_x[k], over_y[near])
+            out[k, near] = most >= threshold * (nx[k] + ny[near] - most) - 1e-9
+        return out
+
+    return may
+
+
 def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(groups, links).
 
@@ -166,10 +192,10 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
             for part, _, _, gram, owner in shingles(batch, shingle):
                 g, o, c = weights(gram, owner)
                 ends = np.searchsorted(o, np.arange(part.num_rows + 1))
-                out = [np.sort(expanded(g[a:b], c[a:b])).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], names=["id", "set"])
+                out = [expanded(g[a:b], c[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([sketch(x) for x in out], pa.binary())], names=["id", "set", "sketch"])
 
-    sets_of = stage(some.mapInArrow(sets, "id long, set binary"), "near-sets")
+    sets_of = stage(some.mapInArrow(sets, "id long, set binary, sketch binary"), "near-sets")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +215,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
         left, right = sets_of.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets_of.select(F.col("id").alias("b"), F.col("set").alias("sb"))
         return fits.join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, similarity double")
 
-    links, groups = link(shared, check)
+    links, groups = link(shared, check, sets_of.select("id", "sketch").dropDuplicates(["id"]), may_reach(threshold))
     drop(shared, sets_of)
     named = state.join(groups.select(F.col("id").alias("keep"), "comp"), "keep", "left")
     out = named.select(_id("id"), F.col("size").alias("n_shingles"), _id("keep").alias("copy_of"), _id(F.coalesce("comp", "keep")).alias("class_id"))
