@@ -1,0 +1 @@
+"""Relational and order-dependent operators over frame, scene and finding tables."""
