@@ -104,6 +104,26 @@ def dms(value) -> Column:
     return F.struct(d.cast("long").alias("d"), m.cast("long").alias("m"), F.floor(((v - d) * 60 - m) * 60 * 10000).cast("long").alias("s"))
 
 
+def exif(gps, description_text=None) -> Column:
+    """Metadata of an image from its telemetry: position as degrees, minutes and seconds, height, lens and time; null without a position."""
+    g = col(gps)
+    fields = F.struct(
+        dms(g["lat"]).alias("latitude"), hemisphere(g["lat"], "N", "S").alias("latitude_ref"), dms(g["lon"]).alias("longitude"), hemisphere(g["lon"], "E", "W").alias("longitude_ref"),
+        F.round(F.abs(g["abs_alt"]) * 100).cast("long").alias("altitude_cm"), F.when(g["abs_alt"] < 0, 1).otherwise(0).alias("altitude_ref"), g["datetime"].alias("taken"),
+        F.round(g["focal_len"] * 100).cast("long").alias("focal_length_hundredths"), F.round(g["dzoom_ratio"] * 100).cast("long").alias("zoom_hundredths"),
+        (F.lit(None).cast("string") if description_text is None else col(description_text)).alias("description"),
+    )
+    return F.when(g["lat"].isNotNull() & g["lon"].isNotNull(), fields)
+
+
+def telemetry_lines(gps) -> Column:
+    """Labels of a frame's telemetry, one value a line; missing ones are left out."""
+    g = col(gps)
+    number = lambda name, c, digits, unit="": F.when(g[c].isNotNull(), F.concat(F.lit(name + " "), F.format_number(g[c], digits), F.lit(unit)))
+    place = F.when(g["lat"].isNotNull() & g["lon"].isNotNull(), F.concat(F.lit("GPS "), F.format_number(g["lat"], 6), F.lit(", "), F.format_number(g["lon"], 6)))
+    return F.concat_ws("\n", place, number("Alt", "abs_alt", 1, " m"), number("Above start", "rel_alt", 1, " m"), number("Yaw", "yaw", 1), number("Pitch", "pitch", 1), number("Roll", "roll", 1), number("Focal length", "focal_len", 1, " mm"), number("Zoom", "dzoom_ratio", 1, "x"), number("Distance", "distance", 1, " m"), number("Speed", "speed", 1, " m/s"))
+
+
 def hemisphere(value, positive: str, negative: str) -> Column:
     return F.when(col(value) >= 0, positive).when(col(value) < 0, negative)
 

@@ -1,4 +1,4 @@
-"""One video's analysis as a plan: frames to a report, over any number of videos at once."""
+"""A video's analysis as a plan: pictures to judged scenes, over any number of videos at once."""
 
 from __future__ import annotations
 
@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import scalars as S
 from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import select as P
 from ..operators import stateful as O
+from ..sources.frames import color_findings
+from ..sources.text import preset
 from . import verdicts as V
 
 
@@ -56,6 +59,44 @@ class Settings:
 BATCH = Settings(scene_similarity=0.65, dedup=0.90)
 
 
+FEATURES = "video_id string, frame_idx long, shift double, sharpness double, mean double, std double, signature array<float>, histogram array<double>"
+
+
+def identified(images: DataFrame, fps: float = 30.0) -> DataFrame:
+    """Rows of the image source with video_id (the folder), frame_idx (the name's last number) and fps."""
+    video = F.regexp_extract("origin", r"([^/]*)/[^/]*$", 1)
+    frame = F.regexp_extract("origin", r"(\d+)\.[^./]*$", 1).try_cast("long")
+    return images.withColumn("video_id", video).withColumn("frame_idx", frame).withColumn("fps", F.lit(float(fps))).filter("frame_idx is not null")
+
+
+def scan(frames: DataFrame, settings: Settings) -> DataFrame:
+    """Features of the frames that the sampler takes, in one pass over each video's pictures.
+
+    ``frames``: video_id, frame_idx, fps, height, width, nChannels, data. Motion
+    is the phase shift against the last taken frame; the state is that frame.
+    """
+
+    def step(state: dict, r: dict) -> list[tuple]:
+        bgr = K.decode(bytes(r["data"]), r["height"], r["width"], r["nChannels"])
+        g = K.gray(bgr)
+        last = state["gray"]
+        moved = None
+        if last is not None and last.shape == g.shape:
+            dx, dy = K.shift(last, g)
+            moved = float((dx * dx + dy * dy) ** 0.5)
+        take = state["sampler"].take(moved) if settings.stride is None else r["frame_idx"] % settings.stride == 0
+        if not take:
+            return []
+        state["gray"] = g
+        m = K.measures(bgr)
+        return [(r["frame_idx"], moved, m["sharpness"], m["mean"], m["std"], m["signature"], m["histogram"])]
+
+    some = P.time_range(frames, "frame_idx", F.col("fps"), settings.begin, settings.end)
+    columns = some.select("video_id", "frame_idx", "height", "width", "nChannels", "data")
+    out = O.fold(columns, "video_id", ["frame_idx"], lambda: {"gray": None, "sampler": O.Sampler()}, step, lambda _: [], FEATURES)
+    return out.join(some.groupBy("video_id").agg(F.max("fps").alias("fps")), "video_id")
+
+
 def sampled(frames: DataFrame, settings: Settings) -> DataFrame:
     """frames (video_id, frame_idx, fps, shift, sharpness, mean, std, signature, histogram) that the sampler takes."""
     some = P.time_range(frames, "frame_idx", F.col("fps"), settings.begin, settings.end)
@@ -112,3 +153,26 @@ def judged(found: DataFrame, settings: Settings, client: V.Client = V.stub) -> D
     deep = V.verdicts(V.ask(V.tasks(targets.select("video_id", "scene_id", "prompt"), False), client, settings.deep_model, parallel=settings.parallel), settings.deep_model)
     merged = V.merge(deep, ["video_id", "scene_id"]).select("video_id", "scene_id", F.struct("found", "confidence", "findings", "terrain", "variant_results", "error").alias("llm_deep"))
     return pool.join(merged, ["video_id", "scene_id"], "left")
+
+
+def analyse(spark, frames: DataFrame, telemetry: DataFrame, settings: Settings, context: DataFrame | None = None, client: V.Client = V.stub, judge: bool = True, colors: bool = True) -> DataFrame:
+    """Pictures to scenes with telemetry, colour anomalies and verdicts: the whole command for any number of videos.
+
+    ``frames`` as for ``scan``. Pictures are read once for features and once more
+    for the best frames' anomalies; no picture is kept in a table.
+    """
+    good = passed(scored(scan(frames, settings), settings), settings)
+    found = located(scenes(good, settings), telemetry)
+    if colors:
+        best = frames.join(found.select("video_id", F.col("best_frame").alias("frame_idx")), ["video_id", "frame_idx"], "left_semi")
+        seen = color_findings(best.select("video_id", "frame_idx", "height", "width", "nChannels", "data"))
+        found = found.join(seen.select("video_id", F.col("frame_idx").alias("best_frame"), "color_findings"), ["video_id", "best_frame"], "left")
+    else:
+        found = found.withColumn("color_findings", F.expr("array()"))
+    found = found.withColumn("color_zones", F.coalesce(F.array_distinct(F.transform("color_findings", lambda f: f["zone"] if colors else f)).cast("array<int>"), F.array().cast("array<int>")))
+    found = found.withColumn("time_str", S.minute_string("best_frame", F.lit(30.0))).withColumn("exif", S.exif("gps"))
+    if not judge:
+        return found
+    context = context if context is not None else preset(spark, "sar-heli" if settings.helicopter else "sar")
+    ready = V.prompts(found.withColumn("context", F.struct(*(F.lit(v).alias(k) for k, v in context.first().asDict().items()))), "context").drop("context")
+    return judged(ready, settings, client)

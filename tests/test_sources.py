@@ -295,3 +295,34 @@ def test_streams_equal_batches(spark, tmp_path):
     closed = run(lambda s: streams.group_scenes(s, "v", "f", "s", "x", alike, 6), "grouped")
     batch = sorted(map(tuple, O.group_scenes(df, "v", "f", "s", "x", alike, 6).collect()))
     assert set(closed) <= set(batch) and {r for r in batch if r[3] < 119 - 6} <= set(closed)
+
+
+def test_commands(spark, tmp_path):
+    from lodestrata import __main__ as cli
+
+    rng = np.random.default_rng(3)
+    for v in ("one", "two"):
+        (tmp_path / "f" / v).mkdir(parents=True)
+        base = rng.integers(0, 255, (80, 120, 3)).astype(np.uint8)
+        for k in range(24):
+            (tmp_path / "f" / v / f"{k:05d}.png").write_bytes(K.png(np.roll(base, k, axis=1) if k < 14 else 255 - base))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "one.SRT").write_text("FrameCnt: 9 [latitude: 46.5] [longitude: -7.25] [abs_alt: 12.5]\n")
+    root = str(tmp_path)
+    go = lambda *argv: cli.run(spark, cli.parser().parse_args([root + x[1:] if x.startswith("@") else x for x in argv]))
+    rows = go("batch", "@/f", "--telemetry", "@/t", "--llm-run", "--color-anomalies", "--enforce-thresholds").collect()
+    assert {r.video_id for r in rows} == {"one", "two"}
+    near = [r for r in rows if r.gps is not None]
+    assert near and near[0].exif.latitude.d == 46 and near[0].exif.longitude_ref == "W"
+    assert all(r.found is not None for r in rows)
+    assert {r.video_id for r in go("video", "@/f/one", "--stride", "5", "--enforce-thresholds").collect()} <= {"one"}
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "report.json").write_text(json.dumps(REPORT))
+    assert go("report", "@/r").count() == 2 and go("llm", "@/r").count() == 2 and go("previews", "@/r").count() == 10 and go("llm-preview", "@/r").count() == 2
+    assert go("info", "@/t").count() == 0 and go("context", "find a tent").count() == 1
+    assert go("colors", "@/f/one").count() == 24 and go("image", "@/f/two", "--variant", "v1").count() == 24 and go("geometry", "@/f/two").count() == 24
+    from lodestrata.functions import scalars as S
+
+    g = spark.createDataFrame([((46.5, None, 3.5),)], "gps struct<lat:double,lon:double,abs_alt:double>")
+    full = F.struct(*(F.col(f"gps.{c}").alias(c) if c in ("lat", "lon", "abs_alt") else F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "abs_alt", "rel_alt", "yaw", "pitch", "roll", "focal_len", "dzoom_ratio", "distance", "speed")))
+    assert g.select(S.telemetry_lines(full)).first()[0] == "Alt 3.5 m"
