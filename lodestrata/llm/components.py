@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import drop, stage
@@ -37,6 +37,7 @@ def components(edges: DataFrame, name: str = "groups") -> DataFrame:
     combined minima. The edges of a finished group form a star on its smallest id.
     """
     pairs = stage(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    mark = _mark(pairs)
     while True:
         # every neighbour larger than u is linked to the smallest of u's neighbourhood
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,28 +47,34 @@ def components(edges: DataFrame, name: str = "groups") -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = stage(small.filter("u != v").distinct(), name)
-        # a star forest: no node is both a centre and a leaf, and each leaf has one centre
-        done = after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty() and after.join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
         drop(pairs)
-        pairs = after
-        if done:
+        pairs, (before, mark) = after, (mark, _mark(after))
+        if before == mark:
             break
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], sketches: DataFrame, may: Callable, small: int = 8, tile: int = 384) -> tuple[DataFrame, DataFrame]:
+def _mark(pairs: DataFrame) -> tuple:
+    """Number and two sums of hashes of the rows: equal for equal sets. A star forest is what a round leaves as it is."""
+    h = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(20,0)"))
+    return tuple(pairs.agg(F.count(F.lit(1)), h(1), h(2)).first())
+
+
+def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], sketches: DataFrame, may: Callable, small: int = 8, tile: int = 384) -> tuple[DataFrame, DataFrame]:
     """(links, groups) of the rows of ``buckets`` (bucket long, id long, size long; a written table).
 
-    ``check`` takes distinct candidate pairs (a < b, with sizes na and nb) and
-    returns the true ones as (a, b, ...). ``sketches`` has (id, sketch binary of
-    one length); ``may(x, nx, y, ny)`` says for each row of ``x`` and of ``y``
-    (sketches as matrices of bytes, and sizes) whether the pair can be a link.
+    ``near(nx, ny)`` holds for the sizes of any true link. ``check`` takes
+    distinct candidate pairs (a < b, with sizes na and nb) and returns the true
+    ones as (a, b, ...). ``sketches`` has (id, sketch binary of one length);
+    ``may(x, nx, y, ny)`` says for each row of ``x`` and of ``y`` (sketches as
+    matrices of bytes, and sizes) whether the pair can be a link.
     """
     stats = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("head")).filter("n > 1")
     parts = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / small))).cast("long"))
     members = stage(buckets.join(stats, "bucket").withColumn("sub", F.pmod(F.xxhash64("id"), parts)), "link-members")
-    to_head = members.filter(f"n > {small} and id != head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.size").alias("na"), F.col("size").alias("nb"))
-    links = stage(check(_distinct(to_head.unionByName(_within(members)))), "links")
+    to_head = members.filter(f"n > {small} and id != head.id").filter(near(F.col("head.size"), F.col("size")))
+    to_head = to_head.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.size").alias("na"), F.col("size").alias("nb"))
+    links = stage(check(_distinct(to_head.unionByName(_within(members, near)))), "links")
     groups = stage(components(links), "link-groups")
     rest = stage(_open(members.filter(f"n > {small}").select("bucket", "id", "size"), groups), "link-open")
     drop(members)
@@ -113,12 +120,14 @@ def _tiles(rest: DataFrame, sketches: DataFrame, may: Callable, tile: int) -> Da
     return outer.unionByName(inner).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, na long, nb long")
 
 
-def _within(members: DataFrame) -> DataFrame:
-    """Pairs a < b of the rows of each sub-bucket. Sub-buckets hold few rows: a hash splits larger buckets."""
+def _within(members: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs a < b of the rows of each sub-bucket that are near. Sub-buckets hold few rows: a hash splits larger buckets."""
     lists = members.groupBy("bucket", "sub").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("all")).filter("size(all) > 1")
-    one = lists.select("all", F.posexplode("all").alias("i", "x"))
-    two = one.select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
-    return two.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb"))
+
+    def later(x: Column, i: Column) -> Column:
+        return F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: near(x["size"], y["size"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["size"].alias("na"), y["size"].alias("nb")))
+
+    return lists.select(F.explode(F.flatten(F.transform("all", later))).alias("p")).select("p.*")
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import bitmap
 from . import blocks as B
 from .components import link
-from .store import drop, free_name, stage
+from .store import drop, free_name, own_columns, stage
 
 _U = np.uint64
 _STEP, _LEVEL, _SPREAD = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
@@ -153,16 +153,18 @@ def may_reach(threshold: float):
 def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(groups, links).
 
-    ``groups``: id, n_shingles, copy_of (the smallest id with the same words),
-    class_id (the smallest id of the connected group), for each row of ``docs``.
-    ``links``: a, b (both ``copy_of`` ids) and similarity of the pairs found whose
-    multisets of shingles have a weighted Jaccard similarity of ``threshold`` or
-    more; the groups are theirs. Texts without words are groups of one each.
-    Rows that repeat an id are one document and share a class; null ids count as
-    one id, larger than any other. An empty table gives no rows.
+    ``groups``: id, text_key (xxhash64 of the text), n_shingles, copy_of (the
+    smallest id with the same words), class_id (the smallest id of the connected
+    group), for each row of ``docs``. ``links``: a, b (both ``copy_of`` ids) and
+    similarity of the pairs found whose multisets of shingles have a weighted
+    Jaccard similarity of ``threshold`` or more; the groups are theirs. Texts
+    without words are groups of one each. Rows that repeat an id are judged by
+    their own texts; a null id counts as larger than any other. An empty table
+    gives no rows; other columns are not read.
     """
     parts = n_bands * rows
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,31 +173,33 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
                 g, o, c = weights(gram, owner)
                 b = bands(signatures(g, o, c, n, parts), rows)
                 size = np.bincount(owner, minlength=n)
-                digests = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(b.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size.astype(np.int64)), pa.array(digests, pa.binary()), lists], names=["id", "size", "digest", "bands"])
-
-    known = stage(source.mapInArrow(sign, "id long, size long, digest binary, bands array<long>"), "near-signatures")
-    classes = known.groupBy("digest").agg(F.min("id").alias("keep"))
-    state = stage(known.select("id", "size", "digest").join(classes, "digest").select("id", "size", F.when(F.col("size") > 0, F.col("keep")).otherwise(F.col("id")).alias("keep")), "near-classes")
-    first_of = classes.select("digest", F.col("keep").alias("id"))
-    buckets = known.filter("size > 0").join(first_of, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"]).select(F.explode("bands").alias("bucket"), "id", "size")
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(size.astype(np.int64)), pa.array(_digests(h, first), pa.binary()), lists], names=["id", "text_key", "size", "digest", "bands"])
+
+    # a node is a text's words: its digest, and 64 bits of that as the number that links and groups go by
+    known = stage(source.mapInArrow(sign, "id long, text_key long, size long, digest binary, bands array<long>"), "near-signatures")
+    # written, so that the join has an exchange on either side, which Spark splits where a digest has many rows
+    classes = stage(known.groupBy("digest").agg(F.min("id").alias("keep")).withColumn("node", F.xxhash64("digest")), "near-digests")
+    state = stage(known.select("id", "text_key", "size", "digest").join(classes, "digest").select("id", "text_key", "size", "node", F.when(F.col("size") > 0, F.col("keep")).otherwise(F.col("id")).alias("keep")), "near-classes")
+    first_of = classes.select("digest", F.col("keep").alias("id"), "node")
+    buckets = known.filter("size > 0").join(first_of, ["digest", "id"]).dropDuplicates(["node"]).select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), "size")
     several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     shared = stage(buckets.join(several, "bucket"), "near-buckets")
     drop(known)
 
-    involved = shared.select("id").distinct()
-    some = bitmap.sieve(source, "id", involved, involved.count()).join(involved, "id")
+    involved = stage(shared.select(F.col("id").alias("node")).distinct().join(classes.select("node", "keep"), "node"), "near-involved")
+    some = bitmap.sieve(source, "id", involved.select(F.col("keep").alias("id")).distinct(), involved.count())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, _, gram, owner in shingles(batch, shingle):
+            for part, h, first, gram, owner in shingles(batch, shingle):
                 g, o, c = weights(gram, owner)
                 ends = np.searchsorted(o, np.arange(part.num_rows + 1))
                 out = [expanded(g[a:b], c[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([sketch(x) for x in out], pa.binary())], names=["id", "set", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(h, first), pa.binary()), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([sketch(x) for x in out], pa.binary())], names=["digest", "set", "sketch"])
 
-    sets_of = stage(some.mapInArrow(sets, "id long, set binary, sketch binary"), "near-sets")
+    made = some.mapInArrow(sets, "digest binary, set binary, sketch binary").withColumn("id", F.xxhash64("digest")).drop("digest")
+    sets_of = stage(made.join(involved.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,15 +215,23 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     def check(pairs: DataFrame) -> DataFrame:
-        fits = pairs.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
         left, right = sets_of.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets_of.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-        return fits.join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, similarity double")
+        return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, similarity double")
 
-    links, groups = link(shared, check, sets_of.select("id", "sketch").dropDuplicates(["id"]), may_reach(threshold))
+    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
+    links, groups = link(shared, check, near, sets_of.select("id", "sketch"), may_reach(threshold))
     drop(shared, sets_of)
-    named = state.join(groups.select(F.col("id").alias("keep"), "comp"), "keep", "left")
-    out = named.select(_id("id"), F.col("size").alias("n_shingles"), _id("keep").alias("copy_of"), _id(F.coalesce("comp", "keep")).alias("class_id"))
-    return out, links
+    own = groups.select(F.col("id").alias("node"), "comp").join(involved, "node")
+    heads = stage(own.join(own.groupBy("comp").agg(F.min("keep").alias("class")), "comp").select("node", "keep", "class"), "near-groups")
+    drop(involved)
+    out = state.join(heads.select("node", "class"), "node", "left").select(_id("id"), "text_key", F.col("size").alias("n_shingles"), _id("keep").alias("copy_of"), _id(F.when(F.col("size") > 0, F.coalesce("class", "keep")).otherwise(F.col("keep"))).alias("class_id"))
+    first, second = (heads.select(F.col("node").alias(x), F.col("keep").alias(f"k{x}")) for x in "ab")
+    named = links.join(first, "a").join(second, "b").select(_id(F.least("ka", "kb")).alias("a"), _id(F.greatest("ka", "kb")).alias("b"), "similarity")
+    return out, named
+
+
+def _digests(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _id(column):
@@ -231,7 +243,7 @@ def _id(column):
 def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group."""
     groups, _ = near_groups(docs, threshold, id_col=id_col, text_col=text_col, **named)
-    gone = groups.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.coalesce("id", F.lit(_NO_ID)).alias("gone")).distinct()
-    own = free_name(docs, "own")
-    keyed = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
-    return keyed.join(gone, F.col(own) == F.col("gone"), "left_anti").drop(own)
+    own, key = free_name(docs, "own"), free_name(docs, "key")
+    gone = groups.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.coalesce("id", F.lit(_NO_ID)).alias(own), F.col("text_key").alias(key)).distinct()
+    keyed = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return keyed.join(gone, [own, key], "left_anti").select(*own_columns(docs))

@@ -10,6 +10,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _KEY = "spark.checkpoint.dir"
 
@@ -60,3 +62,20 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def own_columns(df: DataFrame) -> list:
+    """The columns of ``df`` by name, whatever signs the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for column names with any signs; ``run`` sees and gives the real names."""
+    names, made = df.columns, schema.names
+
+    def renamed(batches):
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns([f"c{k}" for k in range(len(made))])
+
+    safe = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(renamed, safe).toDF(*made)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import blocks as B
-from .store import drop, free_name, stage
+from .store import drop, free_name, own_columns, stage
 
 #: Perfect difference sets by period: every remainder but 0 is the difference of exactly one pair.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -140,10 +140,10 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
         parts.append(stage(source.mapInArrow(candidates(marks, turn), schema), "repeat-windows"))
     drop(shared)
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-    least = found.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("h1", "h2", "low")
+    least = stage(found.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("h1", "h2", "low"), "repeat-firsts")
     later = found.join(least, ["h1", "h2"]).filter("id > low")
     places = stage(later.groupBy("id", "text_key").agg(F.collect_set("place").alias("places")), "repeat-places")
-    drop(*parts)
+    drop(*parts, least)
 
     # the words that stay, of the texts that lose some
     n_cut = places.count()
@@ -165,7 +165,9 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string())], names=["id", "text_key", "cut", "ranges", "rest"])
 
     lost = some.mapInArrow(cut, f"id long, text_key long, cut long, ranges {_RANGES}, rest string")
-    state = known.select("id", "text_key", "n_words", "digest", "sha").join(known.groupBy("digest").agg(F.min("id").alias("keep")), "digest").join(lost, ["id", "text_key"], "left")
+    # written, so that the join has an exchange on either side, which Spark splits where a digest has many rows
+    classes = stage(known.groupBy("digest").agg(F.min("id").alias("keep")), "repeat-digests")
+    state = known.select("id", "text_key", "n_words", "digest", "sha").join(classes, "digest").join(lost, ["id", "text_key"], "left")
     copy = (F.col("id") != F.col("keep")) & (F.col("n_words") >= window)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_words").alias("end")))
     return state.select(
@@ -209,4 +211,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
     words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     rest = F.array_join(F.filter(words, lambda w, i: ~F.exists(gone, lambda r: (i >= r["begin"]) & (i < r["end"]))), " ")
-    return keyed.join(spans, [own, key], "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    return keyed.join(spans, [own, key], "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest)).select(*own_columns(docs))
