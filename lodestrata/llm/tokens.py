@@ -34,7 +34,7 @@ _ODD[0xC3] = False
 class Encoder:
     """Encodes texts; keeps the ids of up to ``most`` pieces between calls."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
@@ -50,7 +50,7 @@ class Encoder:
         self.keys, self.place = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.count, self.used = 0, 0
         self.flat = np.empty(1 << 16, np.uint32)
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.size = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each known piece, -1 for others; an open-addressing table, probed for all at once."""
@@ -155,7 +155,7 @@ class Encoder:
                 first = new[first]
                 self._learn(keys, [buf[a:b].tobytes() for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])
                 place[new] = self._find(h[new])
-            lens, begin = self.size[place], self.start[place]
+            lens, begin = self.size[place].astype(np.int64), self.start[place].astype(np.int64)
             reach = np.cumsum(lens)
             ids = self.flat[np.repeat(begin - (reach - lens), lens) + np.arange(int(reach[-1]))]
         # ids of the plain texts, in order; the odd ones are put between
