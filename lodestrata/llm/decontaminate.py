@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
+from .store import free_name, map_batches
 
 LEAK = "n_words long, hits array<struct<begin:long,end:long>>, items array<string>, longest struct<item:string,item_word:long,word:long,length:long>"
 
@@ -196,17 +197,18 @@ def test_sets(spark: SparkSession, benchmark: DataFrame, window: int, id_col: st
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20, column: str = "leak"
 ) -> DataFrame:
-    """``docs`` with a struct column ``leak``: n_words, hits (merged word ranges), items, longest verbatim match.
+    """``docs`` with a struct ``column``: n_words, hits (merged word ranges), items, longest verbatim match.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.
     A window is ``window`` consecutive words of an item, or all of a shorter one
     that has any. Null text has no words; null items and items without words
     match nothing; equal items are all named. Ties of the longest match go to
     the first item of the block, then the first place. All columns of ``docs``
-    are kept, whatever their names but ``leak``.
+    are kept; one that is called ``column`` is replaced.
     """
+    docs = docs.drop(column)
     tests = test_sets(docs.sparkSession, benchmark, window, item_col, item_text_col, block_bytes)
     kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())]))])
 
@@ -227,11 +229,12 @@ def find_leaks(
             firsts = np.r_[0, np.cumsum(n_words)]
             found = [_merge(list(x)) for x in zip(*(_scan(words, owners, firsts, t.value) for t in tests), strict=True)]
             leaks = [{"n_words": n, "hits": h, "items": i, "longest": m} for n, (h, i, m) in zip(n_words.tolist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], names=[*batch.schema.names, "leak"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("leak", T.StructType.fromDDL(LEAK))]))
+    return map_batches(docs, scan, T.StructType([*docs.schema.fields, T.StructField(column, T.StructType.fromDDL(LEAK))]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **named) -> DataFrame:
     """The rows of ``docs`` without those in which any window of the benchmark occurs."""
-    return find_leaks(docs, benchmark, window, **named).filter(F.size("leak.hits") == 0).drop("leak")
+    leak = free_name(docs, "leak")
+    return find_leaks(docs, benchmark, window, column=leak, **named).filter(F.size(f"{leak}.hits") == 0).drop(leak)

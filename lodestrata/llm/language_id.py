@@ -9,7 +9,10 @@ one gather and one sum.
 
 Calibration: on labelled texts kept from training, a temperature is fitted by
 likelihood, and the score below which a text is rejected is set so that at most
-``reject_rate`` of those that are labelled rightly would go, one half at most.
+``reject_rate`` of those that are labelled rightly would go, and at most a fifth
+of the way from chance to certainty, so that texts in two languages stay. A text
+with less than half the share of known n-grams that such texts have at the
+same rate is in no language that was learnt, and is rejected as well.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
+from .store import map_batches
 
 NONE = "und"
 _U = np.uint64
@@ -46,13 +50,13 @@ def features(buf: np.ndarray, at: np.ndarray, dims: int) -> tuple[np.ndarray, np
     owner = np.cumsum(owner, dtype=np.int32)
     hashed, owners = [], []
     for n in _SIZES:
-        h = np.full(len(buf) - n + 1, n, _U)
+        h = np.full(max(0, len(buf) - n + 1), n, _U)
         good = np.ones(len(h), bool)
         for k in range(n):
             h = h * _MULT[0] + wide[k : k + len(h)]
             if 0 < k < n - 1:
                 good &= inner[k : k + len(h)]  # a border is only first or last
-        good &= inner[: len(h)] | inner[n - 1 :]
+        good &= inner[: len(h)] | inner[n - 1 : n - 1 + len(h)]
         pick = np.flatnonzero(good)
         h = h[pick]
         h ^= h >> _U(29)
@@ -67,21 +71,25 @@ class Model:
     table: np.ndarray  # dims x languages: embeddings times the linear layer, over the temperature
     bias: np.ndarray
     threshold: float
+    seen: np.ndarray  # buckets that training met
+    least_known: float  # share of n-grams in such buckets below which a text is rejected
 
     def logits(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages, number of n-grams of each)."""
+        """(texts x languages, share of n-grams of each that training met)."""
         h, owner = features(buf, at, len(self.table))
         n = np.bincount(owner, minlength=len(at))
         sums = np.stack([np.bincount(owner, self.table[h, k], len(at)) for k in range(len(self.langs))], axis=1)
-        return sums / np.maximum(n, 1)[:, None] + self.bias, n
+        return sums / np.maximum(n, 1)[:, None] + self.bias, np.bincount(owner, self.seen[h], len(at)) / np.maximum(n, 1)
 
-    def predict(self, buf: np.ndarray, at: np.ndarray, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        z, _ = self.logits(buf, at)
+    def predict(self, buf: np.ndarray, at: np.ndarray, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, whether rejected) of each text."""
+        z, known = self.logits(buf, at)
         p = _softmax(z)
         best = p.argmax(axis=1)
         score = p[np.arange(len(p)), best]
         named = [self.langs[k] if has_letter(t) else NONE for k, t in zip(best.tolist(), texts, strict=True)]
-        return named, np.where([x == NONE for x in named], 0.0, score)
+        none = np.array([x == NONE for x in named], bool)
+        return named, np.where(none, 0.0, score), none | (score < self.threshold) | (known < self.least_known)
 
 
 def has_letter(text: str | None) -> bool:
@@ -111,7 +119,7 @@ def fit(texts: list[str], labels: list[str], dims: int = 1 << 16, width: int = 1
     """Train on (text, label) pairs, a fifth of which is kept for calibration. Texts may be cut by the caller."""
     langs = sorted(set(labels))
     if not langs:
-        return Model([NONE], np.zeros((dims, 1)), np.zeros(1), 0.0)
+        return Model([NONE], np.zeros((dims, 1)), np.zeros(1), 0.0, np.zeros(dims, bool), 0.0)
     rng = np.random.default_rng(seed)
     y = np.array([langs.index(x) for x in labels])
     bags = _bags(texts, dims)
@@ -141,8 +149,11 @@ def fit(texts: list[str], labels: list[str], dims: int = 1 << 16, width: int = 1
     temperature = min(np.geomspace(0.05, 20, 61), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(check)), y[check]] + 1e-300).mean())
     p = _softmax(z / temperature)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[check]])
-    threshold = min(0.5, float(right[int(reject_rate * len(right))])) if len(right) else 0.0
-    return Model(langs, table / temperature, bias / temperature, threshold)
+    chance = 1 / len(langs)
+    threshold = min(chance + 0.2 * (1 - chance), float(right[int(reject_rate * len(right))])) if len(right) else 0.0
+    known = np.sort([float(share[seen[k]].sum()) for k, share in (bags[i] for i in check)])
+    least_known = float(known[int(reject_rate * len(known))]) / 2 if len(known) else 0.0
+    return Model(langs, table / temperature, bias / temperature, threshold, seen, least_known)
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, a_language: int, most_languages: int, chars: int) -> list:
@@ -180,14 +191,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``language``: lang, score (0 to 1), rejected.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", column: str = "language") -> DataFrame:
+    """``docs`` with a struct ``column``: lang, score (0 to 1), rejected.
 
     Only the text is read for it, to its end. A null text, or one without a
-    letter, is ``und`` with score 0 and rejected; so is a text whose score is
-    below the model's threshold, which keeps its likeliest language. All
-    columns of ``docs`` are kept, whatever their names but ``language``.
+    letter, is ``und`` with score 0 and rejected; so is a text whose score or
+    share of known n-grams is below the model's, which keeps its likeliest language. All
+    columns of ``docs`` are kept; one that is called ``column`` is replaced.
     """
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
@@ -195,9 +207,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         m = shared.value
         for batch in batches:
             for rows, buf, at in B.blocks(batch, text_col, 1 << 20):
-                langs, score = m.predict(buf, at, rows.column(text_col).to_pylist())
-                rejected = (score < m.threshold) | np.array([x == NONE for x in langs])
+                langs, score, rejected = m.predict(buf, at, rows.column(text_col).to_pylist())
                 out = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([*rows.columns, out], names=[*rows.schema.names, "language"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, out], names=[*rows.schema.names, column])
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField("language", T.StructType.fromDDL("lang string, score double, rejected boolean"))]))
+    return map_batches(docs, judge, T.StructType([*docs.schema.fields, T.StructField(column, T.StructType.fromDDL("lang string, score double, rejected boolean"))]))

@@ -85,10 +85,33 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("leak.hits", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
     return found.select(
         "doc_id", "leak.n_words", n_hit.alias("n_hit"), F.size("leak.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("leak.items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("leak.hits") > 0).alias("contaminated"), F.col("leak.longest").alias("longest"),
+        F.sha2(F.array_join("leak.items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("leak.hits") > 0).alias("contaminated"),
     )
 
 
+OP8_SQL = r"""
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, w, least(10, len(w)) AS n FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), wanted AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM item)
+), own AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT low.*, n, unnest(range(1, len(w) - n + 2)) AS p FROM low, (SELECT DISTINCT n FROM item))
+), hit AS (
+  SELECT doc_id, p, own.n, item_id FROM own JOIN wanted ON own.n = wanted.n AND own.g = wanted.g
+), words AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, p + unnest(range(n)) AS i FROM hit) GROUP BY 1
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM low LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 40)
 
@@ -98,6 +121,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 48)) AS p FROM d)
+), least AS (
+  SELECT g, min(doc_id) AS m FROM win GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM (SELECT doc_id, p, unnest(range(50)) AS k FROM win JOIN least USING (g) WHERE m < doc_id)
+), word AS (
+  SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), kept AS (
+  SELECT word.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY word.i) AS t FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -114,4 +155,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_decontaminate": OP8_SQL, "op10_substring_dedup": OP10_SQL}
