@@ -66,8 +66,9 @@ def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], near: Call
     ``near(nx, ny)`` holds for the sizes of any true link. ``check`` takes
     distinct candidate pairs (a < b, with sizes na and nb) and returns the true
     ones as (a, b, ...). ``sketches`` has (id, sketch binary of one length);
-    ``may(x, nx, y, ny)`` says for each row of ``x`` and of ``y`` (sketches as
-    matrices of bytes, and sizes) whether the pair can be a link.
+    ``may(x, nx, y, ny, bucket)`` says for each row of ``x`` and of ``y`` (sketches
+    as matrices of bytes, and sizes) whether the pair can be a link; it may say
+    no in all but one of the buckets that a pair shares.
     """
     stats = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("head")).filter("n > 1")
     parts = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / small))).cast("long"))
@@ -105,11 +106,11 @@ def _tiles(rest: DataFrame, sketches: DataFrame, may: Callable, tile: int) -> Da
         ident, size, comp, out = get("id"), get("size"), get("comp"), t.column("outer").to_numpy().astype(bool)
         bytes_of = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
         x, y = np.flatnonzero(out), np.flatnonzero(~out)
-        main = t.column("main")[0].as_py()
+        main, bucket = t.column("main")[0].as_py(), t.column("bucket")[0].as_py()
         found: list[tuple] = []
         for at in range(0, len(x), 64):
             part = x[at : at + 64]
-            good = may(bytes_of[part], size[part], bytes_of[y], size[y]) & (comp[part][:, None] != comp[y]) & ((comp[y] == main) | (ident[part][:, None] < ident[y]))
+            good = may(bytes_of[part], size[part], bytes_of[y], size[y], bucket) & (comp[part][:, None] != comp[y]) & ((comp[y] == main) | (ident[part][:, None] < ident[y]))
             r, c = np.nonzero(good)
             found.append((part[r], y[c]))
         r, c = (np.concatenate(v) if found else np.empty(0, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))

@@ -138,7 +138,7 @@ def may_reach(threshold: float):
     What a full cell leaves out is added as if it all met.
     """
 
-    def may(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    def may(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, _=None) -> np.ndarray:
         over_x, over_y = nx - x.sum(axis=1), ny - y.sum(axis=1)
         out = np.zeros((len(x), len(y)), bool)
         for k in range(len(x)):
