@@ -138,3 +138,25 @@ def line_copies(docs, threshold=0.8):
         if w and lead.setdefault(groups.find(w), (k, i)) != (k, i):
             out[k].append(i)
     return out
+
+
+def alike_lines(docs, threshold=0.8):
+    """Removed lines of each document, from all pairs of distinct lines by edit similarity alone."""
+    places = [(k, i, tuple(words(x))) for k, t in docs for i, x in enumerate((t or "").split("\n"))]
+    distinct = sorted({w for _, _, w in places if w}, key=len)
+    bags, groups = [Counter(w) for w in distinct], Groups()
+    for i, a in enumerate(distinct):
+        groups.find(a)
+        for j in range(i + 1, len(distinct)):
+            b = distinct[j]
+            most = int((1 - threshold) * len(b) + 1e-9)
+            if len(b) - len(a) > most:
+                break
+            # as many words as b has beyond a's take an edit each
+            if (bags[j] - bags[i]).total() <= most and edits(a, b) <= most:
+                groups.join(a, b)
+    lead, out = {}, {k: [] for k, _ in docs}
+    for k, i, w in sorted(places, key=lambda p: p[:2]):
+        if w and lead.setdefault(groups.find(w), (k, i)) != (k, i):
+            out[k].append(i)
+    return out
