@@ -60,7 +60,7 @@ def _mark(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), h(1), h(2)).first())
 
 
-def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], sketches: DataFrame, may: Callable, small: int = 8, tile: int = 384) -> tuple[DataFrame, DataFrame]:
+def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], sketches: DataFrame, may: Callable, small: int = 8, tile: int = 384, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, groups) of the rows of ``buckets`` (bucket long, id long, size long; a written table).
 
     ``near(nx, ny)`` holds for the sizes of any true link. ``check`` takes
@@ -68,14 +68,16 @@ def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], near: Call
     ones as (a, b, ...). ``sketches`` has (id, sketch binary of one length);
     ``may(x, nx, y, ny, bucket)`` says for each row of ``x`` and of ``y`` (sketches
     as matrices of bytes, and sizes) whether the pair can be a link; it may say
-    no in all but one of the buckets that a pair shares.
+    no in all but one of the buckets that a pair shares. ``pairs`` (a < b, na, nb)
+    are candidates besides those of the buckets.
     """
     stats = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("head")).filter("n > 1")
     parts = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / small))).cast("long"))
     members = stage(buckets.join(stats, "bucket").withColumn("sub", F.pmod(F.xxhash64("id"), parts)), "link-members")
     to_head = members.filter(f"n > {small} and id != head.id").filter(near(F.col("head.size"), F.col("size")))
     to_head = to_head.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.size").alias("na"), F.col("size").alias("nb"))
-    links = stage(check(_distinct(to_head.unionByName(_within(members, near)))), "links")
+    near_by = to_head.unionByName(_within(members, near))
+    links = stage(check(_distinct(near_by.unionByName(pairs) if pairs is not None else near_by)), "links")
     groups = stage(components(links), "link-groups")
     rest = stage(_open(members.filter(f"n > {small}").select("bucket", "id", "size"), groups), "link-open")
     drop(members)

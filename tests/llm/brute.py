@@ -111,35 +111,6 @@ def edits(a, b):
     return row[-1]
 
 
-def line_copies(docs, threshold=0.8):
-    """Removed lines of each document, with the operator's own SimHash for the candidates."""
-    import numpy as np
-    import pyarrow as pa
-
-    from lodestrata.llm import blocks as B
-    from lodestrata.llm import line_dedup as L
-
-    places = [(k, i, tuple(words(x))) for k, t in docs for i, x in enumerate((t or "").split("\n"))]
-    distinct = sorted({w for _, _, w in places if w})
-    sims = []
-    if distinct:
-        batch = pa.record_batch({"text": pa.array(["\n".join(" ".join(w) for w in distinct)])})
-        for _, h, size, first, _, _ in L.lines(batch):
-            sims = L.simhash(h, size, first)
-    groups = Groups()
-    for i, a in enumerate(distinct):
-        groups.find(a)
-        for j in range(i + 1, len(distinct)):
-            b = distinct[j]
-            if int(np.bitwise_count(sims[i] ^ sims[j])) <= 3 and edits(a, b) <= int((1 - threshold) * max(len(a), len(b)) + 1e-9):
-                groups.join(a, b)
-    lead, out = {}, {k: [] for k, _ in docs}
-    for k, i, w in sorted(places, key=lambda p: p[:2]):
-        if w and lead.setdefault(groups.find(w), (k, i)) != (k, i):
-            out[k].append(i)
-    return out
-
-
 def alike_lines(docs, threshold=0.8):
     """Removed lines of each document, from all pairs of distinct lines by edit similarity alone."""
     places = [(k, i, tuple(words(x))) for k, t in docs for i, x in enumerate((t or "").split("\n"))]

@@ -120,7 +120,7 @@ def test_url_model_learns_its_table(spark):
 def test_line_dedup(spark, seed):
     docs = noisy(seed, 80) + [(1000, None), (1001, ""), (1002, "?!\n--\n"), (1003, LONG[:6000]), (1004, LONG[:6000] + "end"), (1005, "w1\r\nw1")]
     df = spark.createDataFrame(docs, DOCS).withColumn("line", F.lit("clash"))
-    want = brute.line_copies(docs)
+    want = brute.alike_lines(docs)
     assert {r.id: r.removed for r in line_dedup.find_line_copies(df).collect()} == want
     kept = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
     for k, t in docs:
@@ -505,7 +505,7 @@ def test_pipeline(spark):
     kept = [{r.doc_id: r.text for r in s.collect()} for s in steps[:-1]]
     assert set(kept[0]) == {k for k, r in own.items() if language_id.has_letter(r.text)}
     first = [(k, own[k].text) for k in kept[0]]
-    lines = brute.line_copies(first)
+    lines = brute.alike_lines(first)
     for k, t in first:
         rest = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lines[k])
         assert kept[1].get(k, "") == rest if brute.words(rest) or not lines[k] else k not in kept[1]
