@@ -19,7 +19,7 @@ cannot be alike, so no link between groups is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +66,8 @@ def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], near: Call
     ``near(nx, ny)`` holds for the sizes of any true link. ``check`` takes
     distinct candidate pairs (a < b, with sizes na and nb) and returns the true
     ones as (a, b, ...). ``sketches`` has (id, sketch binary of one length);
-    ``may(x, nx, y, ny, bucket)`` says for each row of ``x`` and of ``y`` (sketches
-    as matrices of bytes, and sizes) whether the pair can be a link; it may say
-    no in all but one of the buckets that a pair shares. ``pairs`` (a < b, na, nb)
+    ``may(x, nx, y, ny)`` says for each row of ``x`` and the same of ``y`` (sketches
+    as matrices of bytes, and sizes) whether the pair can be a link. ``pairs`` (a < b, na, nb)
     are candidates besides those of the buckets.
     """
     stats = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("head")).filter("n > 1")
@@ -100,27 +99,60 @@ def _tiles(rest: DataFrame, sketches: DataFrame, may: Callable, tile: int) -> Da
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = [F.col(c) for c in ("bucket", "id", "size", "comp", "main", "sketch")]
-    outer = every.filter("comp != main").select(*held, number("high").alias("i"), upto("wide").alias("j"), F.lit(True).alias("outer"))
-    inner = every.select(*held, upto("high").alias("i"), number("wide").alias("j"), F.lit(False).alias("outer"))
-
-    def compare(t: pa.Table) -> pa.Table:
-        get = lambda name: t.column(name).to_numpy()
-        ident, size, comp, out = get("id"), get("size"), get("comp"), t.column("outer").to_numpy().astype(bool)
-        bytes_of = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        x, y = np.flatnonzero(out), np.flatnonzero(~out)
-        main, bucket = t.column("main")[0].as_py(), t.column("bucket")[0].as_py()
-        found: list[tuple] = []
-        for at in range(0, len(x), 64):
-            part = x[at : at + 64]
-            good = may(bytes_of[part], size[part], bytes_of[y], size[y], bucket) & (comp[part][:, None] != comp[y]) & ((comp[y] == main) | (ident[part][:, None] < ident[y]))
-            r, c = np.nonzero(good)
-            found.append((part[r], y[c]))
-        r, c = (np.concatenate(v) if found else np.empty(0, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))
-        swap = ident[r] > ident[c]
-        a, b = np.where(swap, c, r), np.where(swap, r, c)
-        return pa.table({"a": ident[a], "b": ident[b], "na": size[a], "nb": size[b]})
-
-    return outer.unionByName(inner).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, na long, nb long")
+    outer = every.filter("comp != main").select(*held, number("high").alias("i"), upto("wide").alias("j"), F.lit(1).alias("inner"))
+    inner = every.select(*held, upto("high").alias("i"), number("wide").alias("j"), F.lit(0).alias("inner"))
+    at = ["bucket", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            # tiles are small: what may go on in the next batch waits for it
+            held.append(batch)
+            t = pa.Table.from_batches(held).combine_chunks()
+            tile = np.stack([t.column(c).to_numpy() for c in at], axis=1)
+            whole = int(np.searchsorted((tile == tile[-1]).all(axis=1), True)) if len(tile) else 0
+            if whole:
+                yield from _compared(t.slice(0, whole), tile[:whole], may)
+            held = t.slice(whole).to_batches()
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from _compared(t, np.stack([t.column(c).to_numpy() for c in at], axis=1), may)
+
+    rows = outer.unionByName(inner).withColumn("size", F.col("size").cast("long"))
+    return rows.repartition(*at).sortWithinPartitions(*at, "inner").mapInArrow(compare, "a long, b long, na long, nb long")
+
+
+#: Pairs whose ids, and whose sketches, are compared at once.
+_PAIRS, _SKETCHED = 1 << 20, 1 << 15
+
+
+def _compared(t: pa.Table, tile: np.ndarray, may: Callable) -> Iterator[pa.RecordBatch]:
+    """The pairs of each tile of ``t``, whose rows are ordered by tile and whether they are of its outer side."""
+    if not t.num_rows:
+        return
+    get = lambda name: t.column(name).to_numpy()
+    ident, size, comp, main, out = get("id"), get("size"), get("comp"), get("main"), get("inner") == 1
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    head = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
+    of = np.repeat(np.arange(len(head)), np.diff(np.r_[head, t.num_rows]))
+    n = np.bincount(of[~out], minlength=len(head))  # rows of the inner side, which come first
+    x = np.flatnonzero(out)
+    upto = np.cumsum(n[of[x]])
+    for part in np.split(x, np.searchsorted(upto, np.arange(_PAIRS, int(upto[-1]) if len(x) else 0, _PAIRS))):
+        if not len(part):
+            continue
+        width = n[of[part]]
+        r = np.repeat(part, width)
+        c = np.repeat(head[of[part]] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        good = (comp[r] != comp[c]) & ((comp[c] == main[r]) | (ident[r] < ident[c]))
+        r, c = r[good], c[good]
+        for k in range(0, len(r), _SKETCHED):
+            y, z = r[k : k + _SKETCHED], c[k : k + _SKETCHED]
+            some = may(sketch[y], size[y], sketch[z], size[z])
+            y, z = y[some], z[some]
+            swap = ident[y] > ident[z]
+            a, b = np.where(swap, z, y), np.where(swap, y, z)
+            yield pa.record_batch({"a": pa.array(ident[a]), "b": pa.array(ident[b]), "na": pa.array(size[a]), "nb": pa.array(size[b])})
 
 
 def _within(members: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:

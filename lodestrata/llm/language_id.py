@@ -17,12 +17,13 @@ same rate is in no language that was learnt, and is rejected as well.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,7 +117,7 @@ def _bags(texts: list[str], dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(texts: list[str], labels: list[str], dims: int = 1 << 16, width: int = 16, epochs: int = 8, rate: float = 4.0, reject_rate: float = 0.001, seed: int = 7) -> Model:
-    """Train on (text, label) pairs, a fifth of which is kept for calibration. Texts may be cut by the caller."""
+    """Train on (text, label) pairs, a fifth of which is kept for calibration."""
     langs = sorted(set(labels))
     if not langs:
         return Model([NONE], np.zeros((dims, 1)), np.zeros(1), 0.0, np.zeros(dims, bool), 0.0)
@@ -156,33 +157,42 @@ def fit(texts: list[str], labels: list[str], dims: int = 1 << 16, width: int = 1
     return Model(langs, table / temperature, bias / temperature, threshold, seen, least_known)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, a_language: int, most_languages: int, chars: int) -> list:
-    """At most ``a_language`` labelled rows of each of at most ``most_languages`` languages, chosen by hash.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, a_language: int) -> list:
+    """The ``a_language`` labelled rows of each language that come first by a hash of the id, then by text; fewer if it has fewer.
 
-    Rows are chosen by a threshold on a hash, set from the counts, so no window
-    gathers a language in one task. Only these rows come to the driver; training
-    sees their first ``chars`` characters.
+    Rows past a threshold on the hash, set from the counts, go before any sort,
+    and each task keeps its first rows of a language before they meet. Only the
+    chosen rows come to the driver, with their whole texts.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40)).alias("at"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40)).alias("at"))
+    # one number a language, as the model has
+    counts = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     if not counts:
         return []
-    cut = F.lit(0).cast("long")
-    for lang, n in counts.items():
-        cut = F.when(F.col("lang") == lang, F.lit(int((1 << 40) * min(1.0, 1.5 * a_language / n)) + 1)).otherwise(cut)
-    got = sorted(rows.filter(F.col("at") < cut).limit(3 * a_language * len(counts)).collect(), key=lambda r: (r.lang, r.at, r.text))
-    taken: dict[str, int] = {}
-    out = []
-    for r in got:
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= a_language:
-            out.append(r)
-    return out
+    # twice as many rows as are wanted lie below the cut, or all; where ids repeat and too few do, all are taken
+    cuts = [1 << 40 if n < 20 * a_language else int((1 << 40) * 2 * a_language / n) for _, n in counts]
+    langs = F.array(*(F.lit(lang) for lang, _ in counts))
+    cut = F.get(F.split(F.lit(" ".join(map(str, cuts))), " ").cast("array<long>"), F.array_position(langs, F.col("lang")).cast("int") - 1)
+    best = Window.partitionBy("lang").orderBy("at", "text")
+
+    def first(some: DataFrame) -> list:
+        return some.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= a_language).drop("k").collect()
 
+    got = first(rows.filter(F.col("at") < cut))
+    have = Counter(r.lang for r in got)
+    short = [lang for lang, n in counts if have[lang] < min(n, a_language)]
+    if short:
+        got = [r for r in got if r.lang not in short] + first(rows.filter(F.col("lang").isin(short)))
+    return sorted(got, key=lambda r: (r.lang, r.at, r.text))
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", a_language: int = 500, most_languages: int = 200, chars: int = 2000, **named) -> Model:
-    """Fit on the labelled rows of ``docs``. The sample's bound is ``a_language`` rows a language and ``chars`` characters a row."""
-    got = sample(docs, id_col, text_col, lang_col, a_language, most_languages, chars)
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", a_language: int = 500, **named) -> Model:
+    """Fit on the labelled rows of ``docs``; the sample's bound is ``a_language`` rows a language.
+
+    Every language with a labelled row is learnt, from whole texts. The model has
+    ``dims`` numbers for each. Rows that repeat count as often as they stand.
+    """
+    got = sample(docs, id_col, text_col, lang_col, a_language)
     return fit([r.text for r in got], [r.lang for r in got], **named)
 
 
@@ -197,7 +207,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", column: str
     Only the text is read for it, to its end. A null text, or one without a
     letter, is ``und`` with score 0 and rejected; so is a text whose score or
     share of known n-grams is below the model's, which keeps its likeliest language. All
-    columns of ``docs`` are kept; one that is called ``column`` is replaced.
+    columns of ``docs`` are kept; one that is called ``column`` is replaced. Rows
+    that repeat are judged alike; an empty table gives no rows.
     """
     docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -133,18 +133,17 @@ def sketch(items: np.ndarray) -> bytes:
 
 
 def may_reach(threshold: float):
-    """Whether cell counts let the overlap be large enough: the smaller counts add up to no less than it.
+    """Whether cell counts let the overlap be large enough, one pair a row: the smaller counts add up to no less than it.
 
     What a full cell leaves out is added as if it all met.
     """
 
-    def may(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, _=None) -> np.ndarray:
-        over_x, over_y = nx - x.sum(axis=1), ny - y.sum(axis=1)
-        out = np.zeros((len(x), len(y)), bool)
-        for k in range(len(x)):
-            near = np.flatnonzero(np.minimum(nx[k], ny) >= threshold * np.maximum(nx[k], ny))
-            most = np.minimum(y[near], x[k]).sum(axis=1, dtype=np.int64) + np.minimum(over_x[k], over_y[near])
-            out[k, near] = most >= threshold * (nx[k] + ny[near] - most) - 1e-9
+    def may(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+        out = np.minimum(nx, ny) >= threshold * np.maximum(nx, ny)
+        at = np.flatnonzero(out)
+        x, nx, y, ny = x[at], nx[at], y[at], ny[at]
+        most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(nx - x.sum(axis=1, dtype=np.int64), ny - y.sum(axis=1, dtype=np.int64))
+        out[at] = most >= threshold * (nx + ny - most) - 1e-9
         return out
 
     return may

@@ -75,8 +75,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, _ = near_dedup.near_groups(_table(spark, sf_dir, "documents"), 0.8)
-    return groups.select(F.col("id").alias("doc_id"), "class_id", "copy_of", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles")
+    groups, links = near_dedup.near_groups(_table(spark, sf_dir, "documents"), 0.8)
+    found = near_dedup.with_link_counts(groups, links)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles", "n_links")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +117,27 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 40)
 
 
+OP9_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT n, 0 AS k, n::BIGINT AS c FROM range(256) r(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY n) AS crc_of FROM step WHERE k = 8
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 16 AS size,
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)) AS bytes FROM documents
+), e AS (
+  SELECT r, doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab
+), s AS (
+  SELECT r, n, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || 'null') || '/' || (n // 2)::VARCHAR), 1 + 16 * (n % 2), 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM d, (SELECT unnest(range(41))::INT AS n)
+), best AS (
+  SELECT r, arg_max(n, -1.0 / ln(u)) FILTER (n < 40) AS shard, arg_max(n, -1.0 / ln(u)) AS grown_shard FROM s GROUP BY r
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM e JOIN best USING (r)
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.find_repeats(_table(spark, sf_dir, "documents"), 50)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -155,4 +177,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_decontaminate": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_decontaminate": OP8_SQL, "op9_sharding": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,10 @@ _HEAD = struct.Struct("<BB6xq")
 
 
 def masked(data) -> int:
-    c = zlib.crc32(data)
+    return _mask(zlib.crc32(data))
+
+
+def _mask(c: int) -> int:
     return (((c >> 15) | (c << 17)) + _MASK) & 0xFFFFFFFF
 
 
@@ -74,52 +78,87 @@ def unpack(payload) -> tuple[int | None, np.ndarray]:
     return (doc_id if has else None), np.frombuffer(payload, f"<u{wide}", offset=_HEAD.size)
 
 
+def native_uri(uri: str) -> str:
+    """A folder that Spark names, as pyarrow names it."""
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "file" and not rest.startswith("///"):
+        uri = "file:///" + rest.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        uri = "s3:" + rest
+    elif scheme in ("wasb", "wasbs", "abfs"):
+        uri = "abfss:" + rest.replace(".blob.", ".dfs.", 1)
+    elif not colon:
+        uri = "file://" + uri
+    return uri
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file:///" + uri[6:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(native_uri(uri))
+
+
+class _File:
+    """A data file and its index, written side by side."""
+
+    def __init__(self, path: str, part: int):
+        self.fs, self.folder = filesystem(path)
+        self.fs.create_dir(self.folder, recursive=True)
+        self.name = f"{part:05d}-{uuid.uuid4().hex}"
+        self.records, self.index = (self.fs.open_output_stream(f"{self.folder}/{self.name}{end}") for end in (".rec", ".idx"))
+        self.size = self.n_docs = self.n_tokens = self.crc = 0
+
+    def add(self, records: list[bytes], counts: np.ndarray) -> None:
+        for r in records:
+            self.records.write(r)
+        lengths = np.array([len(r) for r in records], np.int64)
+        body = np.stack([self.size + np.cumsum(lengths) - lengths, counts], axis=1).astype("<u8").tobytes()
+        self.index.write(body)
+        self.crc = zlib.crc32(body, self.crc)
+        self.size, self.n_docs, self.n_tokens = self.size + int(lengths.sum()), self.n_docs + len(records), self.n_tokens + int(counts.sum())
+
+    def close(self) -> None:
+        self.records.close()
+        self.index.write(struct.pack("<I", _mask(self.crc)))
+        self.index.close()
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
-    """Write ``docs`` below ``path`` in ascending order of id; return the manifest (part, file, n_docs, n_tokens, first).
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_bytes: int = 256 << 20) -> DataFrame:
+    """Write ``docs`` below ``path`` in ascending order of id; return the manifest (part, number, file, n_docs, n_tokens).
 
     Null text is empty and gives the end id alone; a null id comes first. Rows
     that repeat an id stay together, ordered by their text. An empty table
-    gives an empty manifest. ``first`` is the number of ids before the file.
+    gives an empty manifest. Each of ``files`` tasks goes on to a new file when
+    one has ``file_bytes``; ``number`` is the file's among its task's.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(files or width(spark), "id").sortWithinPartitions("id", "text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs = out = None
-        index, at, total, n = [], 0, 0, 0
-        name = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
-        wide = 0
+        part, out, number, wide = TaskContext.get().partitionId(), None, 0, 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.record_batch({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "file": [out.name], "n_docs": pa.array([out.n_docs], pa.int64()), "n_tokens": pa.array([out.n_tokens], pa.int64())})
+
         for batch in batches:
             if not wide:
                 vocabulary = tokens.encoder(tokenizer).tokenizer.get_vocab_size()
                 wide = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
-            for part, ids, first in tokens.encoded(batch, "text", tokenizer):
-                if out is None:
-                    fs, folder = filesystem(path)
-                    fs.create_dir(folder, recursive=True)
-                    out = fs.open_output_stream(f"{folder}/{name}.rec")
-                for doc_id, a, b in zip(part.column("id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    record = frame(pack(doc_id, np.append(ids[a:b], np.uint32(end_id)), wide))
-                    out.write(record)
-                    index.append((at, b - a + 1))
-                    at += len(record)
-                    total += b - a + 1
-                    n += 1
+            for rows, ids, first in tokens.encoded(batch, "text", tokenizer):
+                if out is not None and out.size >= file_bytes:
+                    yield done()
+                    out, number = None, number + 1
+                out = out or _File(path, part)
+                of = zip(rows.column("id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)
+                out.add([frame(pack(doc_id, np.append(ids[a:b], np.uint32(end_id)), wide)) for doc_id, a, b in of], np.diff(first) + 1)
         if out is not None:
-            out.close()
-            body = np.array(index, "<u8").tobytes()
-            with fs.open_output_stream(f"{folder}/{name}.idx") as f:
-                f.write(body + struct.pack("<I", masked(body)))
-            yield pa.record_batch({"part": pa.array([int(name[:5])], pa.int32()), "file": [name], "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+            yield done()
 
-    return stage(rows.mapInArrow(put, "part int, file string, n_docs long, n_tokens long"), "token-manifest")
+    return stage(rows.mapInArrow(put, "part int, number int, file string, n_docs long, n_tokens long"), "token-manifest")
+
+
+#: Index entries that are read at once.
+_ENTRIES = 1 << 14
 
 
 def read(spark: SparkSession, path: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -129,41 +168,44 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, with_ids: bool = F
     manifest has one row a file; only it comes to the driver.
     """
     listed, first = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r.part):
-        listed.append((r.file, first))
+    for r in sorted(manifest.collect(), key=lambda r: (r.part, r.number)):
+        listed.append((r.file, first, r.n_docs))
         first += r.n_tokens
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     if not listed:
         return spark.createDataFrame([], schema)
 
+    def records(name: str, base: int, n_docs: int) -> Iterator[tuple]:
+        fs, folder = filesystem(path)
+        with fs.open_input_stream(f"{folder}/{name}.idx") as entries, fs.open_input_stream(f"{folder}/{name}.rec") as f:
+            at = crc = 0
+            for k in range(0, n_docs, _ENTRIES):
+                body = entries.read(16 * min(_ENTRIES, n_docs - k))
+                crc = zlib.crc32(body, crc)
+                for offset, n in np.frombuffer(body, "<u8").reshape(-1, 2).astype(np.int64).tolist():
+                    if offset != at:
+                        raise ValueError(f"the index of {name} doesn't fit its data")
+                    size = f.read(12)
+                    length = struct.unpack_from("<Q", size)[0] if masked(size[:8]) == struct.unpack_from("<I", size, 8)[0] else -1
+                    payload, _ = unframe(size + f.read(length + 4)) if length >= 0 else unframe(size)
+                    doc_id, ids = unpack(payload)
+                    if len(ids) != n:
+                        raise ValueError(f"the index of {name} doesn't fit its data")
+                    ids = ids.astype("<u4")
+                    yield doc_id, base, n, zlib.crc32(ids), ids if with_ids else None
+                    base, at = base + n, at + length + 16
+            if entries.read() != struct.pack("<I", _mask(crc)):
+                raise ValueError(f"the index of {name} is damaged")
+
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 64 if with_ids else 10_000
         for batch in batches:
-            for name, base in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                fs, folder = filesystem(path)
-                with fs.open_input_stream(f"{folder}/{name}.idx") as f:
-                    body = f.read()
-                if masked(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
-                    raise ValueError(f"the index of {name} is damaged")
-                index = np.frombuffer(body[:-4], "<u8").reshape(-1, 2).astype(np.int64)
-                with fs.open_input_stream(f"{folder}/{name}.rec") as f:
-                    at, out = 0, []
-                    for k, (offset, n) in enumerate(index.tolist()):
-                        if offset != at:
-                            raise ValueError(f"the index of {name} doesn't fit its data")
-                        size = f.read(12)
-                        length = struct.unpack_from("<Q", size)[0] if masked(size[:8]) == struct.unpack_from("<I", size, 8)[0] else -1
-                        payload, _ = unframe(size + f.read(length + 4)) if length >= 0 else unframe(size)
-                        doc_id, ids = unpack(payload)
-                        if len(ids) != n:
-                            raise ValueError(f"the index of {name} doesn't fit its data")
-                        ids = ids.astype("<u4")
-                        out.append((doc_id, base, n, zlib.crc32(ids), ids if with_ids else None))
-                        base, at = base + n, at + length + 16
-                        if len(out) == (64 if with_ids else 10_000) or k + 1 == len(index):
-                            yield _rows(out, with_ids)
-                            out = []
-
-    files = spark.createDataFrame(listed, "file string, first long").repartition(len(listed))
+            for row in batch.to_pylist():
+                found = records(row["file"], row["first"], row["n_docs"])
+                while out := list(islice(found, most)):
+                    yield _rows(out, with_ids)
+
+    files = spark.createDataFrame(listed, "file string, first long, n_docs long").repartition(len(listed))
     return files.mapInArrow(get, schema)
 
 

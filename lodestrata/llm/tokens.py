@@ -4,13 +4,15 @@ A byte-level BPE with the usual pre-tokenisation pattern splits a text into
 pieces and encodes each piece by itself. The pieces of a block are found as
 byte spans with numpy, told apart by 64-bit hashes, and only a piece not met
 before by this worker goes through the tokenizer. Texts for which the byte
-rules do not settle the pieces (an apostrophe, or characters beyond ASCII that
-are no Latin-1 letters) are encoded whole by the tokenizer. Either way the ids
-are the tokenizer's own.
+rules do not settle the pieces (an apostrophe, characters beyond ASCII that are
+no Latin-1 letters, or the string of an added token) are encoded whole by the
+tokenizer. Either way the ids are the tokenizer's own.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -36,13 +38,15 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.most = most
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space, in the byte-level alphabet
         self.opens[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
         self.feed = vocabulary.get("\u010a", -1)
-        self.fast = self._splits_as_expected()
+        # pieces are joined by white space to be learnt, so none of it may make an added token
+        self.fast = self._splits_as_expected() and not any(re.search(rb"\s", t) for t in added)
         self._clear()
 
     def _clear(self) -> None:
@@ -139,6 +143,8 @@ class Encoder:
             bad[lead[(buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)]] = True
             sums = np.r_[0, np.cumsum(bad)]
             odd = sums[end] > sums[at]
+            for m in self.added.finditer(buf) if self.added else ():
+                odd[np.searchsorted(at, m.start(), side="right") - 1] = True
         plain = ~odd
         s, e = _pieces(buf, at[plain], end[plain])
         lens, ids = np.empty(0, np.int64), np.empty(0, np.uint32)
