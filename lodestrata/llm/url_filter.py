@@ -19,14 +19,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words that unwanted hosts are named by, of the kinds that public block lists have.
 BLOCKED_WORDS = {
-    "gambling": ("casino", "poker", "roulette", "blackjack", "bingo", "jackpot", "slots", "betting", "bets", "wager", "lotto", "sportsbook"),
+    "gambling": ("casino", "poker", "roulette", "blackjack", "bingo", "jackpot", "slots", "betting", "wager", "lotto", "sportsbook"),
     "medicine": ("pills", "pharmacy", "viagra", "cialis", "meds", "tablets", "steroids", "drugstore", "slimming", "painkiller"),
     "adult": ("adult", "porn", "sex", "xxx", "cams", "escorts", "nude", "erotic", "swingers", "camgirls"),
     "advertising": ("ads", "adserver", "banner", "popup", "tracker", "track", "tracking", "clicks", "affiliate", "pixel"),
     "spam": ("spam", "bulkmail", "linkfarm", "backlinks", "replica", "payday", "loans", "getrich", "doorway", "cracks"),
 }
 #: Words that both kinds of hosts are named by, and those of ordinary ones.
-COMMON_WORDS = ("free", "cheap", "best", "online", "top", "hot", "live", "my", "the", "all", "world", "city", "net", "pro", "club", "shop", "24", "365")
+COMMON_WORDS = ("free", "best", "online", "top", "hot", "live", "my", "the", "all", "world", "city", "net", "pro", "club", "shop", "24", "365")
 ALLOWED_WORDS = (
     "library museum university school hospital council weather news garden recipes history science travel music books archive maps sports health "
     "kitchen village theatre football railway astronomy physics chemistry poetry painting bicycle hiking knitting woodwork parents cinema radio "
