@@ -90,20 +90,28 @@ def component_stats(pixels: DataFrame, by: Sequence[str], values: Sequence[str])
 
 def merge_verdicts(results: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """One verdict a scene from its variants: any found, largest confidence where found, summed time, last terrain."""
-    return results.groupBy(*by).agg(
+    return results.groupBy(*by).agg(*verdict_columns(order))
+
+
+def verdict_columns(order: str) -> list[Column]:
+    return [
         F.coalesce(F.bool_or("found"), F.lit(False)).alias("found"),
         F.coalesce(F.max(F.when(F.col("found"), F.col("confidence"))), F.lit(0.0)).alias("confidence"),
         F.sum(F.coalesce("llm_time", F.lit(0.0))).alias("llm_time"),
         F.max_by("terrain", F.when(F.col("terrain").isNotNull(), F.col(order))).alias("terrain"),
         F.count(F.lit(1)).alias("n_variants"),
-    )
+    ]
 
 
 def merged_findings(results: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Findings of all variants that found something, each tagged with its source, in variant order."""
+    return results.groupBy(*by).agg(findings_column(order))
+
+
+def findings_column(order: str) -> Column:
     tagged = F.transform("findings", lambda f: f.withField("source_variant", F.col("variant")))
     ordered = F.sort_array(F.collect_list(F.when(F.col("found"), F.struct(order, tagged.alias("f")))))
-    return results.groupBy(*by).agg(F.flatten(F.transform(ordered, lambda x: x["f"])).alias("findings"))
+    return F.flatten(F.transform(ordered, lambda x: x["f"])).alias("findings")
 
 
 def rollup_totals(rows: DataFrame, by: Sequence[str], **measures: Column) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = (), tolerance: int = 30, ordinal: str | None = None) -> DataFrame:
-    """Each row of ``left`` with the row of ``right`` whose ``on`` is nearest, ``tolerance`` inclusive.
+def nearest_unique(left: DataFrame, right: DataFrame, key: str, on: str, by: Sequence[str] = (), tolerance: int = 30, ordinal: str | None = None) -> DataFrame:
+    """Each row of ``left`` with the row of ``right`` whose ``on`` is nearest, ``tolerance`` inclusive; ``key`` tells the rows of ``left`` apart.
 
     The exact key wins; of equally near ones that with the smaller ``ordinal``
     (``on`` if none is given). Keys are cut into bands of ``tolerance + 1``; a
@@ -23,20 +23,6 @@ def nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = (),
     by, width = list(by), tolerance + 1
     r = right.select(*by, F.struct(*right.columns).alias("__row"), F.col(on).alias("__key"), F.col(ordinal or on).alias("__tie"))
     r = r.withColumn("__band", F.explode(F.array(*(F.floor(F.col("__key") / width) + k for k in (-1, 0, 1)))))
-    l_ = left.withColumn("__id", F.monotonically_increasing_id()).withColumn("__band", F.floor(F.col(on) / width))
-    near = l_.select("__id", *by, F.col(on).alias("__at"), "__band").join(r, [*by, "__band"]).filter(F.abs(F.col("__at") - F.col("__key")) <= tolerance)
-    best = near.groupBy("__id").agg(F.min_by("__row", F.struct(F.abs(F.col("__at") - F.col("__key")), "__tie")).alias("match"))
-    return l_.join(best, "__id", "left").drop("__id", "__band")
-
-
-def nearest_unique(left: DataFrame, right: DataFrame, key: str, on: str, by: Sequence[str] = (), tolerance: int = 30, ordinal: str | None = None) -> DataFrame:
-    """As ``nearest``, where ``key`` tells the rows of ``left`` apart: one shuffle fewer and no generated id.
-
-    The left row travels as a struct and is grouped by its key with the match.
-    """
-    by, width = list(by), tolerance + 1
-    r = right.select(*by, F.struct(*right.columns).alias("__row"), F.col(on).alias("__key"), F.col(ordinal or on).alias("__tie"))
-    r = r.withColumn("__band", F.explode(F.array(*(F.floor(F.col("__key") / width) + k for k in (-1, 0, 1)))))
     l_ = left.withColumn("__band", F.floor(F.col(on) / width)).withColumnRenamed(on, "__at")
     joined = l_.join(r, [*by, "__band"], "left")
     off = F.abs(F.col("__at") - F.col("__key"))

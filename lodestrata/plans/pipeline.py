@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from ..operators import select as P
 from ..operators import stateful as O
 from ..sources.frames import color_findings
 from ..sources.text import preset
+from . import tables as W
 from . import verdicts as V
 
 
@@ -59,7 +61,7 @@ class Settings:
 BATCH = Settings(scene_similarity=0.65, dedup=0.90)
 
 
-FEATURES = "video_id string, frame_idx long, shift double, sharpness double, mean double, std double, signature array<float>, histogram array<double>"
+FEATURES = "video_id string, frame_idx long, shift double, sharpness double, mean double, std double, signature array<float>, histogram array<double>, fps double"
 
 
 def identified(images: DataFrame, fps: float = 30.0) -> DataFrame:
@@ -89,12 +91,11 @@ def scan(frames: DataFrame, settings: Settings) -> DataFrame:
             return []
         state["gray"] = g
         m = K.measures(bgr)
-        return [(r["frame_idx"], moved, m["sharpness"], m["mean"], m["std"], m["signature"], m["histogram"])]
+        return [(r["frame_idx"], moved, m["sharpness"], m["mean"], m["std"], m["signature"], m["histogram"], r["fps"])]
 
     some = P.time_range(frames, "frame_idx", F.col("fps"), settings.begin, settings.end)
-    columns = some.select("video_id", "frame_idx", "height", "width", "nChannels", "data")
-    out = O.fold(columns, "video_id", ["frame_idx"], lambda: {"gray": None, "sampler": O.Sampler()}, step, lambda _: [], FEATURES)
-    return out.join(some.groupBy("video_id").agg(F.max("fps").alias("fps")), "video_id")
+    columns = some.select("video_id", "frame_idx", "fps", "height", "width", "nChannels", "data")
+    return O.fold(columns, "video_id", ["frame_idx"], lambda: {"gray": None, "sampler": O.Sampler()}, step, lambda _: [], FEATURES)
 
 
 def sampled(frames: DataFrame, settings: Settings) -> DataFrame:
@@ -142,37 +143,58 @@ def located(found: DataFrame, telemetry: DataFrame) -> DataFrame:
     return near.withColumnRenamed("match", "gps").drop("key", "frame_num")
 
 
-def judged(found: DataFrame, settings: Settings, client: V.Client = V.stub) -> DataFrame:
-    """Scenes with a fast verdict, and a deep one where the budget reaches. Needs ``prompt`` and ``color_zones``."""
+def judged(found: DataFrame, settings: Settings, client: V.Client = V.stub, pictures: DataFrame | None = None, answers: str | None = None) -> DataFrame:
+    """Scenes with a fast verdict, and a deep one where the budget reaches. Needs ``prompt`` and ``color_zones``.
+
+    ``found`` must be a written table. ``pictures`` (video_id, scene_id and the
+    image source's columns) gives the model its images. Answers are kept below
+    ``answers`` (a new folder if none is given) and each is asked for once; with
+    the folder of a run that was stopped, only what is missing.
+    """
+    by = ["video_id", "scene_id"]
+    answers = answers or f"{W.shared_folder(found.sparkSession)}/answers-{uuid.uuid4().hex}"
+
+    def answered(scenes: DataFrame, stage: str, full: bool, asker) -> DataFrame:
+        rows = V.tasks(scenes.select(*by, "prompt"), full)
+        shown = rows if pictures is None else V.with_images(rows, pictures, by)
+        return V.asked_once(shown, by, answers, stage, lambda some: asker(some, image=None if pictures is None else "image", parallel=settings.parallel))
+
     good = found.filter("best_score >= 0.4")
     chosen = P.spread_topk(good, "best_score", "best_frame", settings.cap, ["video_id"])
-    ask = (lambda rows: V.two_stages(rows, client, settings.fast_model, settings.reasoning_model, parallel=settings.parallel)) if settings.two_stage else (lambda rows: V.ask(rows, client, settings.fast_model, parallel=settings.parallel))
-    fast = V.merge(V.verdicts(ask(V.tasks(chosen.select("video_id", "scene_id", "prompt"), settings.mode == "max")), settings.fast_model), ["video_id", "scene_id"])
-    pool = found.join(fast, ["video_id", "scene_id"], "left")
+    if settings.two_stage:
+        fast_asker = lambda rows, **named: V.two_stages(rows, client, settings.fast_model, settings.reasoning_model, **named)
+    else:
+        fast_asker = lambda rows, **named: V.ask(rows, client, settings.fast_model, **named)
+    fast = V.merge(V.verdicts(answered(chosen, "fast", settings.mode == "max", fast_asker), settings.fast_model), by)
+    pool = found.join(fast, by, "left")
     targets = V.deep_candidates(pool, settings.deep_scenes, ["video_id"], "best_frame", "fast" if settings.mode == "fast" else "chancepeek")
-    deep = V.verdicts(V.ask(V.tasks(targets.select("video_id", "scene_id", "prompt"), False), client, settings.deep_model, parallel=settings.parallel), settings.deep_model)
+    deep = V.verdicts(answered(targets, "deep", False, lambda rows, **named: V.ask(rows, client, settings.deep_model, **named)), settings.deep_model)
     merged = V.merge(deep, ["video_id", "scene_id"]).select("video_id", "scene_id", F.struct("found", "confidence", "findings", "terrain", "variant_results", "error").alias("llm_deep"))
     return pool.join(merged, ["video_id", "scene_id"], "left")
 
 
-def analyse(spark, frames: DataFrame, telemetry: DataFrame, settings: Settings, context: DataFrame | None = None, client: V.Client = V.stub, judge: bool = True, colors: bool = True) -> DataFrame:
+def analyse(spark, frames: DataFrame, telemetry: DataFrame, settings: Settings, context: DataFrame | None = None, client: V.Client = V.stub, judge: bool = True, colors: bool = True, answers: str | None = None) -> DataFrame:
     """Pictures to scenes with telemetry, colour anomalies and verdicts: the whole command for any number of videos.
 
-    ``frames`` as for ``scan``. Pictures are read once for features and once more
-    for the best frames' anomalies; no picture is kept in a table.
+    ``frames`` as for ``scan``. Pictures are read once for features, which are
+    written, and once more for the best frames' anomalies and the model's images;
+    no picture is kept in a table. Without a context the preset for the flight
+    counts. ``answers`` as for ``judged``.
     """
-    good = passed(scored(scan(frames, settings), settings), settings)
-    found = located(scenes(good, settings), telemetry)
+    features = W.written(scan(frames, settings), "features")
+    good = W.written(passed(scored(features, settings), settings), "good-frames")
+    rates = features.groupBy("video_id").agg(F.max("fps").alias("fps"))
+    found = W.written(located(scenes(good, settings), telemetry).join(rates, "video_id"), "scenes")
+    best = frames.join(found.select("video_id", "scene_id", F.col("best_frame").alias("frame_idx")), ["video_id", "frame_idx"])
     if colors:
-        best = frames.join(found.select("video_id", F.col("best_frame").alias("frame_idx")), ["video_id", "frame_idx"], "left_semi")
         seen = color_findings(best.select("video_id", "frame_idx", "height", "width", "nChannels", "data"))
         found = found.join(seen.select("video_id", F.col("frame_idx").alias("best_frame"), "color_findings"), ["video_id", "best_frame"], "left")
     else:
         found = found.withColumn("color_findings", F.expr("array()"))
     found = found.withColumn("color_zones", F.coalesce(F.array_distinct(F.transform("color_findings", lambda f: f["zone"] if colors else f)).cast("array<int>"), F.array().cast("array<int>")))
-    found = found.withColumn("time_str", S.minute_string("best_frame", F.lit(30.0))).withColumn("exif", S.exif("gps"))
+    found = found.withColumn("time_str", S.minute_string("best_frame", F.col("fps"))).withColumn("exif", S.exif("gps"))
     if not judge:
         return found
     context = context if context is not None else preset(spark, "sar-heli" if settings.helicopter else "sar")
     ready = V.prompts(found.withColumn("context", F.struct(*(F.lit(v).alias(k) for k, v in context.first().asDict().items()))), "context").drop("context")
-    return judged(ready, settings, client)
+    return judged(W.written(ready, "scenes-to-judge"), settings, client, best, answers)

@@ -511,12 +511,11 @@ def zone_parse(t):
 
 
 @query(
-    """SELECT event_id, printf('%02d:%02d:%02d.%02d', s // 3600, s // 60 % 60, s % 60, (event_id % 25) * 4) AS timecode, printf('%02d:%02d.%02d', s // 60, s % 60, (event_id % 25) * 4) AS time_str FROM (SELECT event_id, event_id // 25 AS s FROM events)"""
+    """SELECT event_id, printf('%02d:%02d:%02d.%02d', s // 3600, s // 60 % 60, s % 60, floor((event_id / 25 - floor(event_id / 25)) * 100)::BIGINT) AS timecode, printf('%02d:%02d.%02d', s // 60, s % 60, (event_id % 25) * 4) AS time_str FROM (SELECT event_id, event_id // 25 AS s FROM events)"""
 )
 def time_strings(t):
     fps = F.lit(25)
-    exact = F.col("event_id") + 0.001  # away from the edge that binary fractions blur
-    return t("events").select("event_id", S.timecode(exact, fps).alias("timecode"), S.minute_string("event_id", fps).alias("time_str"))
+    return t("events").select("event_id", S.timecode("event_id", fps).alias("timecode"), S.minute_string("event_id", fps).alias("time_str"))
 
 
 @query("SELECT event_id, strftime(TIMESTAMP '2024-03-01 23:59:30' + to_seconds(event_id // 30), '%Y-%m-%d %H:%M:%S') AS abs_time FROM events")

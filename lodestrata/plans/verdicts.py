@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import kernels as K
 from ..functions import scalars as S
 from ..operators import aggregate as A
 from ..operators import select as P
+from . import tables as T
 
 Client = Callable[[str, bytes | None, str], str]
 FINDINGS = "array<struct<type: string, zone: string, color: string, man_made: string, confidence: double, description: string>>"
@@ -75,6 +77,46 @@ def ask(rows: DataFrame, client: Client, model: str, prompt: str = "prompt", ima
     return rows.mapInPandas(run, f"{fields}, answer string, llm_time double, error string")
 
 
+def with_images(rows: DataFrame, pictures: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` (with ``variant``) with ``image``: the PNG of that variant of the scene's picture.
+
+    ``pictures`` has ``by`` and the image source's height, width, nChannels and
+    data; a row without a picture has none. A picture is sent once a variant and
+    enhanced where it is asked about, so no enhanced picture is kept.
+    """
+
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [None if r["data"] is None else K.png(K.enhanced(K.decode(bytes(r["data"]), int(r["height"]), int(r["width"]), int(r["nChannels"])), r["variant"])) for r in batch.to_dict("records")]
+            yield batch[names].assign(image=made)
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    joined = rows.join(pictures.select(*by, "height", "width", "nChannels", "data"), list(by), "left")
+    return joined.mapInPandas(run, f"{fields}, image binary")
+
+
+def asked_once(rows: DataFrame, by: Sequence[str], path: str, stage: str, asker: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``asker(rows)`` without the image, each row asked about once however often the answers are read.
+
+    Answers are appended below ``path`` before anything reads them. Rows (by
+    ``by`` and variant) that have an answer there without an error are not asked
+    again, so a run that was stopped goes on where it was; of several answers
+    the one without an error counts, else the last in order of text.
+    """
+    spark, at = rows.sparkSession, f"{path}/{stage}"
+    keys = [*by, "variant"]
+    if T.exists(spark, at):
+        done = spark.read.parquet(at).filter("error is null").select(*keys).distinct()
+        rows = rows.join(done, keys, "left_anti")
+    asker(rows).drop("image").write.mode("append").parquet(at)
+    every = spark.read.parquet(at)
+    rest = [c for c in every.columns if c not in keys]
+    best = every.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col("error").isNotNull(), F.coalesce("error", F.lit("")), "answer")).alias("a"))
+    return best.select(*keys, "a.*")
+
+
 def verdicts(asked: DataFrame, model: str) -> DataFrame:
     """Answers as verdict columns; text without JSON stays as ``raw``, 3000 characters of it."""
     p = S.parsed("answer", ANSWER)
@@ -87,7 +129,7 @@ def two_stages(rows: DataFrame, client: Client, vision_model: str, reasoning_mod
     """Describe the image, then conclude from the description. An error of either keeps the description."""
     seen = ask(rows.withColumn("describe_prompt", F.lit(DESCRIBE)), client, vision_model, "describe_prompt", image, **named)
     seen = seen.withColumnRenamed("answer", "described").withColumnRenamed("llm_time", "describe_time").withColumnRenamed("error", "describe_error").drop("describe_prompt")
-    asked = ask(seen.withColumn("conclude_prompt", F.concat_ws("\n\n", F.coalesce("described", F.lit("")), "prompt")), client, reasoning_model, "conclude_prompt", **named)
+    asked = ask(seen.drop(*([image] if image else [])).withColumn("conclude_prompt", F.concat_ws("\n\n", F.coalesce("described", F.lit("")), "prompt")), client, reasoning_model, "conclude_prompt", **named)
     return asked.withColumn("llm_time", F.col("llm_time") + F.col("describe_time")).withColumn("error", F.coalesce("describe_error", "error")).drop("conclude_prompt", "describe_time", "describe_error")
 
 
@@ -105,10 +147,8 @@ def prompts(rows: DataFrame, context: str) -> DataFrame:
 
 def merge(results: DataFrame, by: Sequence[str]) -> DataFrame:
     """One verdict a scene over its variants, with tagged findings and the results by variant."""
-    head = A.merge_verdicts(results, by, "variant_order")
-    tagged = A.merged_findings(results, by, "variant_order")
-    each = results.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("variant", F.struct("found", "confidence", "error"))))).alias("variant_results"), F.max("error").alias("error"))
-    return head.join(tagged, list(by)).join(each, list(by))
+    each = F.map_from_entries(F.sort_array(F.collect_list(F.struct("variant", F.struct("found", "confidence", "error")))))
+    return results.groupBy(*by).agg(*A.verdict_columns("variant_order"), A.findings_column("variant_order"), each.alias("variant_results"), F.max("error").alias("error"))
 
 
 def deep_candidates(scenes: DataFrame, budget: int, by: Sequence[str], time_column: str, mode: str = "fast") -> DataFrame:

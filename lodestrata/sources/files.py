@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 #: File endings that count as video.
-VIDEO_ENDINGS = ("mp4", "mov", "avi", "mkv", "m4v", "mts")
+VIDEO_ENDINGS = ("mp4", "mov", "avi", "mkv", "m4v", "webm")
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

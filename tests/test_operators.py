@@ -150,12 +150,24 @@ def test_components():
 # --- joins and picks ---
 
 
+def test_merge_shapes_by_pairs_in_order():
+    """The rule as it is stated: each pair in order, unless one of it has gone already."""
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        found = [{"shape": ("box", "circle")[rng.integers(2)], "confidence": float(rng.integers(1, 5)), "bbox": {"x": int(rng.integers(0, 12)), "y": 0, "w": 8, "h": 8}} for _ in range(rng.integers(0, 9))]
+        gone = [False] * len(found)
+        for j, k in ((j, k) for j in range(len(found)) for k in range(j + 1, len(found))):
+            if not gone[j] and not gone[k] and found[j]["shape"] == found[k]["shape"] and O.box_iou(found[j]["bbox"], found[k]["bbox"]) > 0.3:
+                gone[k if found[j]["confidence"] >= found[k]["confidence"] else j] = True
+        assert O.merge_shapes(found) == [f for f, g in zip(found, gone, strict=True) if not g]
+
+
 def test_nearest(spark):
     left = spark.createDataFrame([("a", 100), ("a", 131), ("a", 200), ("b", 100), ("a", -5)], "v string, f long")
     right = spark.createDataFrame([("a", 70, 1, "x"), ("a", 130, 2, "y"), ("a", 230, 3, "z"), ("a", 170, 4, "w"), ("a", 20, 5, "n")], "v string, f long, o long, name string")
     want = {("a", 100): "x", ("a", 131): "y", ("a", 200): "z", ("b", 100): None, ("a", -5): "n"}
     want[("a", -5)] = "n" if abs(-5 - 20) <= 30 else None
-    for out in (J.nearest(left, right, "f", ["v"], 30, "o"), J.nearest_unique(left.withColumn("k", F.concat_ws(":", "v", "f")), right, "k", "f", ["v"], 30, "o")):
+    for out in (J.nearest_unique(left.withColumn("k", F.concat_ws(":", "v", "f")), right, "k", "f", ["v"], 30, "o"),):
         assert {(r.v, r.f): r.match and r.match.name for r in out.collect()} == want
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -276,6 +278,38 @@ def test_whole_plan(spark):
     assert pipeline.Settings(helicopter=True).threshold == 0.4 and pipeline.BATCH.dedup == 0.9
 
 
+def test_each_call_is_made_once_with_its_image(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = [bytearray(rng.integers(0, 256, 24 * 32 * 3, dtype=np.uint8).tobytes()) for _ in range(12)]
+    shape = "height int, width int, nChannels int, data binary"
+    pictures = spark.createDataFrame([("v", k, 24, 32, 3, d) for k, d in enumerate(data)], f"video_id string, scene_id long, {shape}")
+    found = spark.createDataFrame([("v", k, k * 400, 0.9, f"p{k}", [1]) for k in range(12)], "video_id string, scene_id long, best_frame long, best_score double, prompt string, color_zones array<int>")
+    found.write.parquet(str(tmp_path / "found"))
+    found = spark.read.parquet(str(tmp_path / "found"))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def client(model, image, prompt):
+        (calls / uuid.uuid4().hex).write_text(json.dumps([model, prompt, bytes(image[:4]).hex() if image else ""]))
+        if model == "fast" and prompt == "p5" and len(list(calls.iterdir())) < 14:
+            raise RuntimeError("down")
+        return verdicts.stub(model, image, prompt)
+
+    s = pipeline.Settings(deep_scenes=4, two_stage=False, mode="chancepeek")
+    out = pipeline.judged(found, s, client, pictures, f"file://{tmp_path}/answers")
+    first = out.collect()
+    out.collect()
+    out.count()
+    made = [json.loads(c.read_text()) for c in calls.iterdir()]
+    assert Counter(m for m, _, _ in made) == {"fast": 12, "deep": 4}
+    assert all(head == "89504e47" for _, _, head in made)
+    again = pipeline.judged(found, s, client, pictures, f"file://{tmp_path}/answers").collect()
+    assert len(list(calls.iterdir())) == 17  # the one that failed
+    assert len(first) == len(again) == 12 and {r.scene_id for r in first if r.error} == {5} and not any(r.error for r in again)
+    two = pipeline.judged(found, pipeline.Settings(deep_scenes=0, two_stage=True), client, pictures).collect()
+    assert len(two) == 12 and len(list(calls.iterdir())) == 17 + 24
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(v, f, float(rng.integers(0, 80)), float(rng.integers(0, 5)), float(rng.integers(0, 6))) for v in "ab" for f in range(120)]
