@@ -1,7 +1,7 @@
 """Benchmark decontamination by suffix arrays over shards of the training text.
 
-A shard is one Arrow batch of documents in one task, so nothing is shuffled
-and a lost task is simply run again. Only words that the benchmark has can be
+A shard is some documents of one Arrow batch, so nothing is shuffled and a lost
+task is simply run again. Only words that the benchmark has can be
 part of a verbatim match, so the shard's suffix array covers the runs of such
 words, as long as the shortest window at least, with a mark between runs. It is
 built by prefix doubling to a depth above the window; every benchmark suffix is
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .store import free_name, map_batches
+from .store import free_name, map_batches, stage
 
 LEAK = "n_words long, hits array<struct<begin:long,end:long>>, items array<string>, longest struct<item:string,item_word:long,word:long,length:long>"
 
@@ -30,7 +31,7 @@ LEAK = "n_words long, hits array<struct<begin:long,end:long>>, items array<strin
 class TestSet:
     """Windows of one block of benchmark items: their words as codes from 1 over a sorted vocabulary."""
 
-    names: list[str]
+    names: list[list[str]]  # of the items that share a text
     vocabulary: np.ndarray
     codes: np.ndarray  # windows x window, 0 beyond a short window
     length: np.ndarray  # of each window
@@ -40,8 +41,11 @@ class TestSet:
 
     @classmethod
     def of(cls, items: list[tuple], window: int) -> TestSet:
-        batch = pa.record_batch({"text": pa.array([t for _, t in items], pa.string())})
-        names, words = [str(k) for k, _ in items], []
+        same: dict[str, list[str]] = {}  # equal items are looked for once
+        for k, t in items:
+            same.setdefault(t, []).append(str(k))
+        batch = pa.record_batch({"text": pa.array(list(same), pa.string())})
+        names, words = [sorted(x) for x in same.values()], []
         for _, buf, at in B.blocks(batch, "text"):
             low = B.LOWER[buf]
             s, e = B.spans(low, B.ALNUM)
@@ -53,7 +57,7 @@ class TestSet:
             if len(w):
                 size = min(window, len(w))
                 c = np.searchsorted(vocabulary, w) + 1
-                rows = np.zeros((len(w) - size + 1, window), np.int64)
+                rows = np.zeros((len(w) - size + 1, window), np.int32)
                 rows[:, :size] = np.lib.stride_tricks.sliding_window_view(c, size)
                 codes.append(rows)
                 length.append(np.full(len(rows), size))
@@ -63,7 +67,7 @@ class TestSet:
         none = np.empty(0, np.int64)
         marks = np.zeros(1 << 20, bool)
         marks[vocabulary >> np.uint64(44)] = True
-        return cls(names, vocabulary, join(codes, np.empty((0, window), np.int64)), join(length, none), join(item, none), join(place, none), marks)
+        return cls(names, vocabulary, join(codes, np.empty((0, window), np.int32)), join(length, none), join(item, none), join(place, none), marks)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -77,8 +81,15 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+#: Patterns that are searched for in step.
+_STEP = 1 << 15
+
+
 def search(text: np.ndarray, order: np.ndarray, codes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each pattern, the range of ``order`` whose suffixes begin with it."""
+    if len(codes) > _STEP:
+        parts = [search(text, order, codes[a : a + _STEP], length[a : a + _STEP]) for a in range(0, len(codes), _STEP)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     depth = codes.shape[1]
     padded = np.concatenate([text, np.zeros(depth, np.int64)])
     step = np.arange(depth)
@@ -152,7 +163,7 @@ def _scan(words: list[np.ndarray], owners: list[np.ndarray], firsts: np.ndarray,
     best: dict[int, tuple] = {}
     for k in np.lexsort((w[head], i[head], -length)):
         a = head[k]
-        best.setdefault(int(d[a]), {"item": tests.names[i[a]], "item_word": int(s[a]), "word": int(w[a] - firsts[d[a]]), "length": int(length[k])})
+        best.setdefault(int(d[a]), {"item": tests.names[i[a]][0], "item_word": int(s[a]), "word": int(w[a] - firsts[d[a]]), "length": int(length[k])})
     # hit ranges
     by = np.lexsort((word, doc))
     d, a, e = doc[by], word[by], (word + size)[by]
@@ -166,7 +177,7 @@ def _scan(words: list[np.ndarray], owners: list[np.ndarray], firsts: np.ndarray,
     named: dict[int, set] = {}
     pair = np.unique(doc * len(tests.names) + item)
     for x, k in zip((pair // len(tests.names)).tolist(), (pair % len(tests.names)).tolist(), strict=True):
-        named.setdefault(x, set()).add(tests.names[k])
+        named.setdefault(x, set()).update(tests.names[k])
     return [(hits[x], sorted(named[x]), best[x]) if x in hits else empty for x in range(n)]
 
 
@@ -184,20 +195,22 @@ def _merge(parts: list[tuple]) -> tuple:
     return ranges, sorted({x for p in parts for x in p[1]}), longest
 
 
-def test_sets(spark: SparkSession, benchmark: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int) -> list:
-    """The items as broadcast blocks of ``block_bytes`` of text each, one item at least."""
-    out, block, size = [], [], 0
-    for k, t in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        block.append((k, t))
-        size += len(t)
-        if size >= block_bytes:
-            out.append(spark.sparkContext.broadcast(TestSet.of(block, window)))
+def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
+    """The items in blocks of ``block_bytes`` of text each, one item at least; equal ones follow each other."""
+    block, size = [], 0
+    items = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t")).filter("t is not null").orderBy("t", "k")
+    for k, t in items.toLocalIterator():
+        if size >= block_bytes and t != block[-1][1]:
+            yield block
             block, size = [], 0
-    return [*out, spark.sparkContext.broadcast(TestSet.of(block, window))] if block or not out else out
+        size += len(t.encode()) if not block or t != block[-1][1] else 0
+        block.append((k, t))
+    if block:
+        yield block
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20, column: str = "leak"
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, blocks: int = 4, column: str = "leak"
 ) -> DataFrame:
     """``docs`` with a struct ``column``: n_words, hits (merged word ranges), items, longest verbatim match.
 
@@ -206,32 +219,63 @@ def find_leaks(
     that has any. Null text has no words; null items and items without words
     match nothing; equal items are all named. Ties of the longest match go to
     the first item of the block, then the first place. All columns of ``docs``
-    are kept; one that is called ``column`` is replaced.
+    are kept; one that is called ``column`` is replaced. Rows that repeat are
+    judged alike; an empty table gives no rows; a text is one shard at most, so a
+    very long one takes memory in proportion to its length.
+
+    The benchmark goes in blocks of ``block_bytes`` of text. A worker holds at
+    most ``blocks`` of them; for a larger benchmark the documents are written
+    with what was found and gone through once more for each further ``blocks``.
     """
-    docs = docs.drop(column)
-    tests = test_sets(docs.sparkSession, benchmark, window, item_col, item_text_col, block_bytes)
+    docs, spark = docs.drop(column), docs.sparkSession
+    fields = docs.schema.fields
+    made = T.StructType([*fields, T.StructField(column, T.StructType.fromDDL(LEAK))])
+    rest = test_blocks(benchmark, item_col, item_text_col, block_bytes)
+    some = list(islice(rest, blocks)) or [[]]
+    while some:
+        tests = [spark.sparkContext.broadcast(TestSet.of(x, window)) for x in some]
+        some = list(islice(rest, blocks))
+        docs = map_batches(docs, _scanner(tests, text_col, column), made)
+        if some:
+            docs = stage(docs, "leaks")
+            for t in tests:
+                t.unpersist()
+    return docs
+
+
+#: Bytes of a shard's texts, about; a longer text is a shard of its own.
+_SHARD = 4 * B.BLOCK_BYTES
+
+
+def _scanner(tests: list, text_col: str, column: str):
+    """A map over batches that adds ``column``, or adds to it what these tests find."""
     kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())]))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, owners, counts, base = [], [], [], 0
-            for _, buf, at in B.blocks(batch, text_col):
-                low = B.LOWER[buf]
-                s, e = B.spans(low, B.ALNUM)
-                owner, first = B.owners(s, at)
-                words.append(B.hashes(low, s, e))
-                owners.append(owner + base)
-                counts.append(np.diff(first))
-                base += len(at)
-            if not base:
-                continue
-            n_words = np.concatenate(counts)
-            firsts = np.r_[0, np.cumsum(n_words)]
-            found = [_merge(list(x)) for x in zip(*(_scan(words, owners, firsts, t.value) for t in tests), strict=True)]
-            leaks = [{"n_words": n, "hits": h, "items": i, "longest": m} for n, (h, i, m) in zip(n_words.tolist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], names=[*batch.schema.names, column])
-
-    return map_batches(docs, scan, T.StructType([*docs.schema.fields, T.StructField(column, T.StructType.fromDDL(LEAK))]))
+            for part, _, _ in B.blocks(batch, text_col, _SHARD):
+                yield shard(part)
+
+    def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, owners, counts, base = [], [], [], 0
+        for _, buf, at in B.blocks(batch, text_col):
+            low = B.LOWER[buf]
+            s, e = B.spans(low, B.ALNUM)
+            owner, first = B.owners(s, at)
+            words.append(B.hashes(low, s, e))
+            owners.append(owner + base)
+            counts.append(np.diff(first))
+            base += len(at)
+        n_words = np.concatenate(counts)
+        firsts = np.r_[0, np.cumsum(n_words)]
+        found = [_scan(words, owners, firsts, t.value) for t in tests]
+        if column in batch.schema.names:
+            found.append([(x["hits"], x["items"], x["longest"]) for x in batch.column(column).to_pylist()])
+            batch = batch.drop_columns([column])
+        leaks = [{"n_words": n, "hits": h, "items": i, "longest": m} for n, (h, i, m) in zip(n_words.tolist(), (_merge(list(x)) for x in zip(*found, strict=True)), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], names=[*batch.schema.names, column])
+
+    return scan
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **named) -> DataFrame:

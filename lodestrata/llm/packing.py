@@ -168,12 +168,21 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def assign(cut: DataFrame, capacity: int, buckets: int = 64) -> DataFrame:
-    """``cut`` (with ``length``) with ``sequence_id`` and ``offset``. ``cut`` must be a written table."""
-    mixed = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int")
+def assign(cut: DataFrame, capacity: int, bucket_rows: int = 1 << 14, most: int = 1 << 18) -> DataFrame:
+    """``cut`` (with ``length``) with ``sequence_id`` and ``offset``. ``cut`` must be a written table.
+
+    Pieces of a length are numbered in hash buckets of about ``bucket_rows``, and
+    of more where that would make over ``most`` buckets; so a length that a third
+    of all pieces have is no one task's. The driver holds a number for each
+    bucket, ``capacity`` and ``most`` of them at most, and the plan.
+    """
+    wide = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = max(bucket_rows, -(-sum(wide.values()) // most))
+    parts = F.get(F.array(*(F.lit(-(-wide.get(k, 0) // share) or 1) for k in range(capacity + 1))), F.col("length").cast("int"))
+    mixed = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), parts).cast("int")
     rows = cut.withColumn("__bucket", mixed)
     sizes = rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    counted = sizes.collect()  # capacity x buckets numbers at most
+    counted = sizes.collect()
     counts: dict[int, int] = {}
     before = []
     for r in sorted(counted, key=lambda r: (r.length, r["__bucket"])):
