@@ -9,8 +9,9 @@ both documents have hashed.
 
 1. Every document is summarised once: its words' digest and its anchors. An
    aggregate with a map-side combine finds the anchors that two different
-   documents have; a bitmap of fixed size holds them.
-2. Documents are read again. From each anchor in the bitmap the match is
+   documents have; a bitmap of fixed size holds them, or, if they are too many
+   for it, a join gives each document its own.
+2. Documents are read again, once. From each shared anchor the match is
    extended to all windows around it, and only these candidate windows get a
    96-bit hash. The smallest document of each window is again an aggregate; no
    pairs of documents are ever formed, however many share a window.
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,7 @@ def _anchor_places(size: np.ndarray, first: np.ndarray, window: int, period: int
     return np.flatnonzero(on[place % period] & (place + window - period + 1 <= size[owner]) & (size[owner] >= window))
 
 
-def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", bits_a_pass: int = bitmap.MOST) -> DataFrame:
+def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", most_bits: int = bitmap.MOST) -> DataFrame:
     """One row for each row of ``docs``: id, text_key, n_words, n_removed, covered, kept_sha256.
 
     Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``, unchanged; null
@@ -77,8 +77,9 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     ``window`` words that also begin in a row with a smaller id; ``kept_sha256``
     is of the other words, joined by one space. A null id counts as larger than
     any other. Rows that repeat an id remove nothing from each other. An empty
-    table gives no rows; other columns are not read. Shared anchors beyond what
-    a bitmap of 2^bits_a_pass bits holds are handled in further passes.
+    table gives no rows; other columns are not read. If the shared anchors are
+    more than a bitmap of 2^most_bits bits holds, they are joined to their
+    documents instead; either way the texts are read three times.
     """
     if window < 1:
         raise ValueError("a window has at least one word")
@@ -107,43 +108,41 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     held = known.filter("size(anchors) > 0").select(F.xxhash64("digest").alias("class"), F.explode("anchors").alias("hash"))
     shared = stage(held.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("hash"), "repeat-anchors")
     n_shared = shared.count()
-    passes = max(1, -(-n_shared * 16 // (1 << bits_a_pass)))
-    bits = bitmap.bits_for(-(-n_shared // passes), bits_a_pass)
-
-    def candidates(mine, turn: int):
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marks = mine.value
-            for batch in batches:
-                for rows, _, _, h, _, first in _words(batch):
-                    size = np.diff(first)
-                    places = _anchor_places(size, first, window, period, cover, len(h))
-                    g = B.grams(h, window - period + 1)[places]
-                    hit = bitmap.has(marks, g)
-                    if passes > 1:
-                        hit &= (g >> np.uint64(32)) % np.uint64(passes) == turn
-                    starts, owner = _around(places[hit], first, size, window, period)
-                    if len(starts):
-                        one, two = (B.grams(h, window, base)[starts] for base in _BASES)
-                        ids, keys = (rows.column(c).to_numpy()[owner] for c in ("id", "text_key"))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array(keys), pa.array((starts - first[owner]).astype(np.int32))],
-                            names=["h1", "h2", "id", "text_key", "place"],
-                        )
-
-        return windows
+    many = n_shared * 16 > 1 << most_bits
+    marks = None if many else spark.sparkContext.broadcast(bitmap.gather(shared, bitmap.bits_for(n_shared, most_bits)))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, _, _, h, _, first in _words(batch):
+                size = np.diff(first)
+                places = _anchor_places(size, first, window, period, cover, len(h))
+                g = B.grams(h, window - period + 1)[places]
+                if marks is not None:
+                    hit = bitmap.has(marks.value, g)
+                else:
+                    own, ends = rows.column("own"), np.searchsorted(places, first)
+                    hit = np.concatenate([np.isin(g[a:b].view(np.int64), own[k].values.to_numpy()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))])
+                starts, owner = _around(places[hit], first, size, window, period)
+                if len(starts):
+                    one, two = (B.grams(h, window, base)[starts] for base in _BASES)
+                    ids, keys = (rows.column(c).to_numpy()[owner] for c in ("id", "text_key"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array(keys), pa.array((starts - first[owner]).astype(np.int32))],
+                        names=["h1", "h2", "id", "text_key", "place"],
+                    )
 
     schema = "h1 long, h2 int, id long, text_key long, place int"
-    parts = []
-    for turn in range(passes if n_shared else 0):
-        own = shared if passes == 1 else shared.filter(F.pmod(F.shiftrightunsigned("hash", 32), F.lit(passes)) == turn)
-        marks = spark.sparkContext.broadcast(bitmap.gather(own, bits))
-        parts.append(stage(source.mapInArrow(candidates(marks, turn), schema), "repeat-windows"))
+    among = source
+    if many:
+        anchors = known.filter("size(anchors) > 0").select("id", "text_key", F.explode("anchors").alias("hash"))
+        own = anchors.join(shared, "hash", "left_semi").groupBy("id", "text_key").agg(F.collect_set("hash").alias("own"))
+        among = source.join(stage(own, "repeat-own"), ["id", "text_key"])
+    found = stage(among.mapInArrow(candidates, schema), "repeat-windows") if n_shared else spark.createDataFrame([], schema)
     drop(shared)
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     least = stage(found.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("h1", "h2", "low"), "repeat-firsts")
     later = found.join(least, ["h1", "h2"]).filter("id > low")
     places = stage(later.groupBy("id", "text_key").agg(F.collect_set("place").alias("places")), "repeat-places")
-    drop(*parts, least)
+    drop(found, least)
 
     # the words that stay, of the texts that lose some
     n_cut = places.count()

@@ -552,7 +552,7 @@ def test_substring_dedup_small(spark, window):
     docs = noisy(window, 60, vocabulary=4, longest=30) + [(1000 + k, t) for k, t in EDGE]
     df = spark.createDataFrame(docs, DOCS).withColumn("place", F.lit("clash"))
     want = brute.repeats(docs, window)
-    got = substring_dedup.find_repeats(df, window, bits_a_pass=20).collect()
+    got = substring_dedup.find_repeats(df, window, most_bits=20).collect()
     assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     removed = {k: (n, h) for k, _, n, h in want}
     for r in substring_dedup.remove_repeats(df, window).collect():
@@ -564,7 +564,7 @@ def test_substring_dedup_passes(spark, monkeypatch):
     docs = noisy(9, 60, vocabulary=4, longest=30)
     df = spark.createDataFrame(docs, DOCS)
     monkeypatch.setattr(substring_dedup.bitmap, "bits_for", lambda n, most=29: 1 << 20)
-    got = substring_dedup.find_repeats(df, 8, bits_a_pass=8).collect()
+    got = substring_dedup.find_repeats(df, 8, most_bits=8).collect()
     assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.repeats(docs, 8)
     assert substring_dedup.find_repeats(spark.createDataFrame([], DOCS), 8).count() == 0
 
