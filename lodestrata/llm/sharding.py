@@ -55,7 +55,7 @@ def with_slots(rows: DataFrame, number: str, order: Sequence[str], bucket_rows:
     """
     n = min(most, -(-rows.count() // bucket_rows))
     cuts = rows.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
+    splits = [float("-inf"), *sorted({0.0, *(float(c) for c in cuts or [])}), float("inf")]  # one cut at least
     place, of, ahead, row = (free_name(rows, x) for x in ("place", "of", "ahead", "row"))
     marked = rows.withColumn(of, F.coalesce(F.col(number).cast("double"), F.lit(float("-inf"))))
     marked = Bucketizer(splits=splits, inputCol=of, outputCol=place).transform(marked).withColumn(place, F.when(F.col(number).isNull(), -1).otherwise(F.col(place)).cast("int")).drop(of)

@@ -17,9 +17,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none (tests)."""
+    """The shared folder; a temporary one is set only where the session names none and has no other machines (tests)."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
