@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the cluster names in ``spark.checkpoint.dir``; without it executors have no folder in common."""
+    """What the cluster names in ``spark.checkpoint.dir``; a temporary folder only where there are no other machines."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
-        raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+        spark.conf.set(_KEY, found)
     return found.rstrip("/")
 
 
