@@ -327,6 +327,11 @@ def is_positive(found, confidence) -> Column:
     return F.coalesce(col(found), F.lit(False)) | (F.coalesce(col(confidence), F.lit(0.0)) > 0.4)
 
 
+def worth_asking(score) -> Column:
+    """Whether a scene's best score is enough for a model to look at it."""
+    return col(score) >= 0.4
+
+
 def has_target_color(color) -> Column:
     low = F.lower(F.coalesce(col(color), F.lit("")))
     out = F.lit(False)

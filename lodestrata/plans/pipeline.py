@@ -159,7 +159,7 @@ def judged(found: DataFrame, settings: Settings, client: V.Client = V.stub, pict
         shown = rows if pictures is None else V.with_images(rows, pictures, by)
         return V.asked_once(shown, by, answers, stage, lambda some: asker(some, image=None if pictures is None else "image", parallel=settings.parallel))
 
-    good = found.filter("best_score >= 0.4")
+    good = found.filter(S.worth_asking("best_score"))
     chosen = P.spread_topk(good, "best_score", "best_frame", settings.cap, ["video_id"])
     if settings.two_stage:
         fast_asker = lambda rows, **named: V.two_stages(rows, client, settings.fast_model, settings.reasoning_model, **named)

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestrata.plans import flagship
+from lodestrata.plans import flagship, image_queries  # noqa: F401  (registers its queries)
 from lodestrata.plans import queries as own
 
 SF = "/root/testdata/sf0.001"
