@@ -93,33 +93,40 @@ def link(buckets: DataFrame, check: Callable[[DataFrame], DataFrame], near: Call
 
 
 def _tiles(rest: DataFrame, sketches: DataFrame, may: Callable, tile: int) -> DataFrame:
-    """Pairs of rows of different groups of a bucket, one outside its largest group, that may be links."""
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / tile).alias("wide"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / tile).alias("high"))
-    every = rest.join(sizes, "bucket").join(sketches, "id")
+    """Pairs of rows of different groups of a bucket, one outside its largest group, that may be links.
+
+    Rows that are alike share many buckets, whose largest group is mostly the
+    same. Tiles are cut by that group and the rows' ids, so a pair meets in one
+    tile in all of these buckets and is given once.
+    """
+    ids = rest.select("main", "id", "comp").distinct()
+    sizes = ids.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / tile).alias("wide"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / tile).alias("high"))
+    every = rest.join(sizes, "main").join(sketches, "id")
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = [F.col(c) for c in ("bucket", "id", "size", "comp", "main", "sketch")]
     outer = every.filter("comp != main").select(*held, number("high").alias("i"), upto("wide").alias("j"), F.lit(1).alias("inner"))
     inner = every.select(*held, upto("high").alias("i"), number("wide").alias("j"), F.lit(0).alias("inner"))
-    at = ["bucket", "i", "j"]
+    at = ["main", "i", "j"]
+    places = lambda t: np.stack([t.column(c).to_numpy() for c in at], axis=1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            # tiles are small: what may go on in the next batch waits for it
+            # a tile's rows are few: tile ids a side, and the buckets of each
             held.append(batch)
             t = pa.Table.from_batches(held).combine_chunks()
-            tile = np.stack([t.column(c).to_numpy() for c in at], axis=1)
-            whole = int(np.searchsorted((tile == tile[-1]).all(axis=1), True)) if len(tile) else 0
+            same = (places(t) == places(t)[-1:]).all(axis=1)
+            whole = int(np.argmax(same)) if len(same) else 0
             if whole:
-                yield from _compared(t.slice(0, whole), tile[:whole], may)
+                yield from _compared(t.slice(0, whole), places(t)[:whole], may)
             held = t.slice(whole).to_batches()
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
-            yield from _compared(t, np.stack([t.column(c).to_numpy() for c in at], axis=1), may)
+            yield from _compared(t, places(t), may)
 
     rows = outer.unionByName(inner).withColumn("size", F.col("size").cast("long"))
-    return rows.repartition(*at).sortWithinPartitions(*at, "inner").mapInArrow(compare, "a long, b long, na long, nb long")
+    return rows.repartition(*at).sortWithinPartitions(*at, "bucket", "inner").mapInArrow(compare, "a long, b long, na long, nb long")
 
 
 #: Pairs whose ids, and whose sketches, are compared at once.
@@ -127,17 +134,19 @@ _PAIRS, _SKETCHED = 1 << 20, 1 << 15
 
 
 def _compared(t: pa.Table, tile: np.ndarray, may: Callable) -> Iterator[pa.RecordBatch]:
-    """The pairs of each tile of ``t``, whose rows are ordered by tile and whether they are of its outer side."""
+    """The pairs of each tile of ``t``, whose rows are ordered by tile, bucket and whether they are of the outer side; each pair once."""
     if not t.num_rows:
         return
     get = lambda name: t.column(name).to_numpy()
     ident, size, comp, main, out = get("id"), get("size"), get("comp"), get("main"), get("inner") == 1
     sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    head = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
+    bucket = get("bucket")
+    head = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1) | (bucket[1:] != bucket[:-1])])
     of = np.repeat(np.arange(len(head)), np.diff(np.r_[head, t.num_rows]))
     n = np.bincount(of[~out], minlength=len(head))  # rows of the inner side, which come first
     x = np.flatnonzero(out)
     upto = np.cumsum(n[of[x]])
+    found = []
     for part in np.split(x, np.searchsorted(upto, np.arange(_PAIRS, int(upto[-1]) if len(x) else 0, _PAIRS))):
         if not len(part):
             continue
@@ -146,13 +155,25 @@ def _compared(t: pa.Table, tile: np.ndarray, may: Callable) -> Iterator[pa.Recor
         c = np.repeat(head[of[part]] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
         good = (comp[r] != comp[c]) & ((comp[c] == main[r]) | (ident[r] < ident[c]))
         r, c = r[good], c[good]
+        a, b = np.minimum(ident[r], ident[c]), np.maximum(ident[r], ident[c])
+        once = np.lexsort((b, a))
+        once = once[np.r_[True, (a[once][1:] != a[once][:-1]) | (b[once][1:] != b[once][:-1])]] if len(once) else once
+        r, c = r[once], c[once]
         for k in range(0, len(r), _SKETCHED):
             y, z = r[k : k + _SKETCHED], c[k : k + _SKETCHED]
             some = may(sketch[y], size[y], sketch[z], size[z])
             y, z = y[some], z[some]
             swap = ident[y] > ident[z]
-            a, b = np.where(swap, z, y), np.where(swap, y, z)
-            yield pa.record_batch({"a": pa.array(ident[a]), "b": pa.array(ident[b]), "na": pa.array(size[a]), "nb": pa.array(size[b])})
+            found.append((np.where(swap, z, y), np.where(swap, y, z)))
+    if found:
+        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+        once = np.lexsort((ident[b], ident[a]))
+        a, b = a[once], b[once]
+        new = np.r_[True, (ident[a][1:] != ident[a][:-1]) | (ident[b][1:] != ident[b][:-1])][: len(a)]
+        a, b = a[new], b[new]
+        for k in range(0, len(a), _SKETCHED):
+            x, y = a[k : k + _SKETCHED], b[k : k + _SKETCHED]
+            yield pa.record_batch({"a": pa.array(ident[x]), "b": pa.array(ident[y]), "na": pa.array(size[x]), "nb": pa.array(size[y])})
 
 
 def _within(members: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
