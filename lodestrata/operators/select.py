@@ -28,10 +28,8 @@ def spread_topk(rows: DataFrame, score: str, time: str, k: int | None, by: Seque
     tie = ident or time
     if k == 1:
         return top(rows, [F.desc(score), F.asc(tie)], 1, by)
-    counted = rows
     if by:
-        counted = rows.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        best = counted.withColumn("__rank", F.row_number().over(_over(by, F.desc(score), F.asc(tie)))).filter(F.col("__rank") <= 2 * k).drop("__rank")
+        best = rows.withColumn("__rank", F.row_number().over(_over(by, F.desc(score), F.asc(tie)))).filter(F.col("__rank") <= 2 * k).drop("__rank")
     else:
         best = rows.orderBy(F.desc(score), F.asc(tie)).limit(2 * k)
     placed = best.withColumn("__i", F.row_number().over(_over(by, F.asc(time), F.asc(tie))) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(0)]))))
@@ -39,7 +37,7 @@ def spread_topk(rows: DataFrame, score: str, time: str, k: int | None, by: Seque
     # i is picked if some j has floor(j (n - 1) / (k - 1)) = i
     j = F.ceil(F.col("__i") * (k - 1) / step)
     hit = F.when(F.col("__n") <= k, True).otherwise((j <= k - 1) & (F.floor(j * step / (k - 1)) == F.col("__i")))
-    return placed.filter(hit).drop("__i", "__n", "__all")
+    return placed.filter(hit).drop("__i", "__n")
 
 
 def step_topk(rows: DataFrame, time: str, k: int, by: Sequence[str] = (), step: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -48,8 +48,10 @@ def recording_time(telemetry_datetime, xml_text, file_name):
 
 def first_recording_times(telemetry: DataFrame, key: str = "video_id", frames: int = 5) -> DataFrame:
     """The date and time of the first of each video's first frames that has one."""
-    firsts = telemetry.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("frame_num", "datetime"))), 1, frames).alias("f"))
-    return firsts.select(key, F.get(F.filter("f", lambda x: x["datetime"].isNotNull()), F.lit(0))["datetime"].alias("recorded"))
+    # a task keeps its first frames of a video before they meet
+    place = F.row_number().over(Window.partitionBy(key).orderBy("frame_num", "datetime"))
+    firsts = telemetry.select(key, "frame_num", "datetime", place.alias("k")).filter(F.col("k") <= frames)
+    return firsts.groupBy(key).agg(F.min_by("datetime", F.when(F.col("datetime").isNotNull(), F.col("k"))).alias("recorded"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

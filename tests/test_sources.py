@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections import Counter
 
@@ -325,12 +326,26 @@ def test_streams_equal_batches(spark, tmp_path):
         q.awaitTermination(120)
         return sorted(map(tuple, spark.sql(f"select * from {name}").collect()))
 
-    assert run(lambda s: streams.adaptive_sample(s, "v", "f", "shift"), "sampled") == sorted(map(tuple, O.adaptive_sample(df, "v", "f", "shift").collect()))
-    closed = run(lambda s: streams.group_scenes(s, "v", "f", "s", "x", alike, 6), "grouped")
+    assert run(lambda s: streams.adaptive_sample(s, "v", "f", "shift", None), "sampled") == sorted(map(tuple, O.adaptive_sample(df, "v", "f", "shift").collect()))
+    closed = run(lambda s: streams.group_scenes(s, "v", "f", "s", "x", alike, 6, None), "grouped")
     batch = sorted(map(tuple, O.group_scenes(df, "v", "f", "s", "x", alike, 6).collect()))
     assert set(closed) <= set(batch) and {r for r in batch if r[3] < 119 - 6} <= set(closed)
 
 
+def test_a_stream_that_ends_gives_its_open_scenes(spark, tmp_path):
+    schema = "v string, f long, s double, x double"
+    spark.createDataFrame([("a", k, 1.0, float(k // 10)) for k in range(30)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "p0"))
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = streams.group_scenes(src, "v", "f", "s", "x", lambda a, b: a == b, 300, idle=1).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        time.sleep(1)
+        if spark.sql("select * from ended").count():
+            break
+    q.stop()
+    got = spark.sql("select * from ended").collect()
+    assert sorted((r.scene, r.first_frame, r.last_frame) for r in got) == [(0, 0, 9), (1, 10, 19), (2, 20, 29)]
+
+
 def test_commands(spark, tmp_path):
     from lodestrata import __main__ as cli
 
