@@ -66,6 +66,10 @@ def features(buf: np.ndarray, at: np.ndarray, dims: int) -> tuple[np.ndarray, np
     return np.concatenate(hashed).astype(np.int64), np.concatenate(owners)
 
 
+#: Bytes of texts that are judged at once; numbers of each byte's n-grams are held meanwhile.
+_BLOCK = 1 << 18
+
+
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
@@ -217,9 +221,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", column: str
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for rows, buf, at in B.blocks(batch, text_col, 1 << 20):
+            for rows, buf, at in B.blocks(batch, text_col, _BLOCK):
                 langs, score, rejected = m.predict(buf, at, rows.column(text_col).to_pylist())
                 out = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*rows.columns, out], names=[*rows.schema.names, column])
+        B.release()
 
     return map_batches(docs, judge, T.StructType([*docs.schema.fields, T.StructField(column, T.StructType.fromDDL("lang string, score double, rejected boolean"))]))
