@@ -218,7 +218,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
         return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(overlap, "a long, b long, similarity double")
 
     near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    links, groups = link(shared, check, near, sets_of.select("id", "sketch"), may_reach(threshold))
+    links, groups = link(shared, check, near, lambda ids: sets_of.select("id", "sketch"), may_reach(threshold))
     drop(shared, sets_of)
     own = groups.select(F.col("id").alias("node"), "comp").join(involved, "node")
     heads = stage(own.join(own.groupBy("comp").agg(F.min("keep").alias("class")), "comp").select("node", "keep", "class"), "near-groups")
