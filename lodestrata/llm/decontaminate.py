@@ -245,6 +245,8 @@ def find_leaks(
 
 #: Bytes of a shard's texts, about; a longer text is a shard of its own.
 _SHARD = 4 * B.BLOCK_BYTES
+#: Bytes of the texts whose words are found at once.
+_PART = 1 << 18
 
 
 def _scanner(tests: list, text_col: str, column: str):
@@ -255,10 +257,11 @@ def _scanner(tests: list, text_col: str, column: str):
         for batch in batches:
             for part, _, _ in B.blocks(batch, text_col, _SHARD):
                 yield shard(part)
+        B.release()
 
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, owners, counts, base = [], [], [], 0
-        for _, buf, at in B.blocks(batch, text_col):
+        for _, buf, at in B.blocks(batch, text_col, _PART):
             low = B.LOWER[buf]
             s, e = B.spans(low, B.ALNUM)
             owner, first = B.owners(s, at)

@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from . import bitmap
 from . import blocks as B
 from .components import link
-from .store import drop, free_name, own_columns, stage
+from .store import drop, free_name, stage
 
 _U = np.uint64
 _STEP, _LEVEL, _SPREAD = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
 _NO_ID = (1 << 63) - 1
 _TICKS = 1 << 16
+#: Points that are made at once.
+_POINTS = 1 << 18
 
 
 def shingles(batch: pa.RecordBatch, size: int):
@@ -81,9 +83,10 @@ def signatures(gram: np.ndarray, owner: np.ndarray, count: np.ndarray, texts: in
         pick = np.flatnonzero(mine[owner])
         flat = np.full(texts * parts, ~_U(0), _U)
         for many in (False, True):
-            own = pick[(until[owner[pick]] > 6) == many]
-            if len(own):
-                _points(flat, gram[own], owner[own], count[own], until, parts, 32 if many else 2)
+            own, chunk = pick[(until[owner[pick]] > 6) == many], 32 if many else 2
+            for a in range(0, len(own), _POINTS // chunk):
+                some = own[a : a + _POINTS // chunk]
+                _points(flat, gram[some], owner[some], count[some], until, parts, chunk)
         out[todo] = flat.reshape(texts, parts)[todo]
         todo = todo[(out[todo] == ~_U(0)).any(axis=1)]
         until[todo] *= 2
@@ -174,6 +177,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
                 size = np.bincount(owner, minlength=n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(b.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(size.astype(np.int64)), pa.array(_digests(h, first), pa.binary()), lists], names=["id", "text_key", "size", "digest", "bands"])
+        B.release()
 
     # a node is a text's words: its digest, and 64 bits of that as the number that links and groups go by
     known = stage(source.mapInArrow(sign, "id long, text_key long, size long, digest binary, bands array<long>"), "near-signatures")
@@ -196,6 +200,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
                 ends = np.searchsorted(o, np.arange(part.num_rows + 1))
                 out = [expanded(g[a:b], c[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(h, first), pa.binary()), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([sketch(x) for x in out], pa.binary())], names=["digest", "set", "sketch"])
+        B.release()
 
     made = some.mapInArrow(sets, "digest binary, set binary, sketch binary").withColumn("id", F.xxhash64("digest")).drop("digest")
     sets_of = stage(made.join(involved.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
@@ -212,6 +217,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, n_ban
                     found.append(j)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+        B.release()
 
     def check(pairs: DataFrame) -> DataFrame:
         left, right = sets_of.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets_of.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -242,7 +248,11 @@ def _id(column):
 def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group."""
     groups, _ = near_groups(docs, threshold, id_col=id_col, text_col=text_col, **named)
+    gone = stage(groups.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.coalesce("id", F.lit(_NO_ID)).alias("own"), F.col("text_key").alias("key")).distinct(), "near-gone")
     own, key = free_name(docs, "own"), free_name(docs, "key")
-    gone = groups.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.coalesce("id", F.lit(_NO_ID)).alias(own), F.col("text_key").alias(key)).distinct()
     keyed = docs.withColumn(own, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return keyed.join(gone, [own, key], "left_anti").select(*own_columns(docs))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed = keyed.toDF(*names, "own", "key")
+    # texts that a bitmap knows to stay are not sent through the join
+    apart = lambda outside: bitmap.sieve(keyed, "key", gone.select("key"), gone.count(), outside)
+    return apart(True).unionByName(apart(False).join(gone, ["own", "key"], "left_anti")).select(*names).toDF(*docs.columns)

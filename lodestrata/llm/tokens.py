@@ -209,6 +209,8 @@ def _ends(where: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+#: Bytes of the texts that are encoded at once: many times as much is held meanwhile, beside the executor's heap.
+_BLOCK = 1 << 18
 
 
 def encoder(path: str) -> Encoder:
@@ -221,6 +223,6 @@ def encoder(path: str) -> Encoder:
 def encoded(batch: pa.RecordBatch, column: str, path: str):
     """(rows, ids, first): for each block of ``batch`` its rows, their ids, and where each row's begin."""
     enc = encoder(path)
-    for rows, buf, at in B.blocks(batch, column):
+    for rows, buf, at in B.blocks(batch, column, _BLOCK):
         ids, first = enc.block(buf, at, np.r_[at[1:] - 1, len(buf) - 1])
         yield rows, ids, first
