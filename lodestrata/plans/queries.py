@@ -278,12 +278,15 @@ def color_confidence(t):
 _BOXES = "SELECT DISTINCT l_orderkey AS g, l_partkey * 10 + l_linenumber AS i, l_partkey % 200 AS x, l_suppkey % 150 AS y, 20 + l_quantity::BIGINT AS w, 30 + l_linenumber::BIGINT AS h FROM lineitem"
 
 
-def _boxes(t):
-    row = t("lineitem").select(
+def _box_rows(t):
+    return t("lineitem").select(
         F.col("l_orderkey").alias("g"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("i"),
         F.struct((F.col("l_partkey") % 200).alias("x"), (F.col("l_suppkey") % 150).alias("y"), (20 + F.col("l_quantity").cast("long")).alias("w"), (30 + F.col("l_linenumber").cast("long")).alias("h")).alias("box"),
     )
-    return row.distinct()
+
+
+def _boxes(t):
+    return _box_rows(t).distinct()
 
 
 @query(
@@ -297,9 +300,11 @@ def iou_pairs(t):
 @query()
 def iou_dedup(t):
     """CLU-03 over the boxes of each order; SQL has no such fold, a test compares it with plain Python."""
-    found = _boxes(t).select("g", F.struct("i", F.col("box").alias("bbox"), (F.col("box.w") * F.col("box.h")).alias("area"), (F.pmod(F.col("i") * 31, F.lit(97)) / 97).alias("confidence")).alias("f"))
-    scenes = found.groupBy("g").agg(F.array_sort(F.collect_list("f")).alias("findings"))
-    merged = scenes.select("g", O.merged("findings", scenes, O.merge_color).alias("findings"))
+    # sets: equal boxes go where the order's boxes meet, in one shuffle
+    boxes = _box_rows(t).groupBy("g").agg(F.array_sort(F.collect_set(F.struct("i", "box"))).alias("boxes"))
+    finding = lambda b: F.struct(b["i"].alias("i"), b["box"].alias("bbox"), (b["box"]["w"] * b["box"]["h"]).alias("area"), (F.pmod(b["i"] * 31, F.lit(97)) / 97).alias("confidence"))
+    scenes = boxes.select("g", F.transform("boxes", finding).alias("findings"))
+    merged = scenes.select("g", O.merged_colors("findings", scenes).alias("findings"))
     return merged.select("g", F.size("findings").cast("long").alias("n"), F.aggregate("findings", F.lit(0).cast("long"), lambda s, f: s + f["area"]).alias("area"))
 
 

@@ -114,6 +114,33 @@ def test_shape_merge():
     assert len(O.merge_shapes([line(179, 0, 0.5), line(20, 3, 0.6)])) == 2
 
 
+@pytest.mark.parametrize("kind", [int, float])
+def test_color_merges_of_many_scenes_equal_the_core(kind):
+    rng = np.random.default_rng(5)
+    size = np.r_[rng.integers(0, 8, 300), 60, 0, 200, 48, 49]
+    n = int(size.sum())
+    box = [rng.integers(0, m, n).astype(kind) + a for m, a in ((60, 0), (60, 0), (40, 1), (40, 1))]
+    confidence, area = rng.integers(0, 20, n) / 20, (rng.integers(1, 1000, n) / kind(1 if kind is int else 3)).astype(kind)
+    got = [[] for _ in size]
+    for s, f, a in zip(*(v.tolist() for v in O.color_merges(box, confidence, area, size)), strict=True):
+        got[s].append((f, a))
+    end = np.cumsum(size)
+    for s, e in enumerate(end):
+        scene = [{"name": k, "bbox": {c: box[j][k].item() for j, c in enumerate("xywh")}, "confidence": confidence[k].item(), "area": area[k].item()} for k in range(e - size[s], e)]
+        assert got[s] == [(f["name"], f["area"]) for f in O.merge_color(scene)]
+
+
+def test_merged_colors_of_batches(spark):
+    kind = "g long, findings array<struct<name:string,bbox:struct<x:long,y:long,w:long,h:long>,confidence:double,area:long>>"
+    rng = np.random.default_rng(6)
+    one = lambda k: (f"n{k}", tuple(rng.integers(1, 30, 4).tolist()), float(rng.integers(0, 9)) / 9, int(rng.integers(1, 99)))
+    rows = [(g, None if g == 3 else [one(k) for k in range(g % 9)]) for g in range(60)]
+    for rows in (rows, [*rows, (99, [("alone", None, 0.5, None)])]):
+        df = spark.createDataFrame(rows, kind)
+        want, got = (df.select("g", f.alias("findings")).collect() for f in (O.merged("findings", df, O.merge_color), O.merged_colors("findings", df)))
+        assert sorted(got) == sorted(want)
+
+
 def test_iou_dedup_query_equals_the_core(spark):
     from lodestrata.plans.queries import QUERIES, _boxes
 
